@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.pii import BASE_KINDS, find_spans, written
+
+    found = find_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(written(F.col("spans"), lambda s: s["base"]), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.bpe import decode_documents, encode_documents
 
@@ -46,5 +54,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.where("ordinal is not null").select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe": op4_bpe, "op9_token_counts": op9_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op4_bpe": op4_bpe, "op9_token_counts": op9_token_counts}
 ORACLE_SQL: dict[str, str] = {}
