@@ -45,6 +45,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.secrets import BASE_KINDS, find_secrets, written
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.arrow import stored
     from factloom.llm.tokencount import count_tokens, write_flat
@@ -54,5 +62,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.where("ordinal is not null").select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op4_bpe": op4_bpe, "op9_token_counts": op9_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op9_token_counts": op9_token_counts}
 ORACLE_SQL: dict[str, str] = {}
