@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.arrow import map_texts
 
-MAX_CACHED = 300_000
+MAX_CACHED = 150_000
 SHORT = 48
 NONE = 1 << 40
 

@@ -53,6 +53,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.arrow import stored
     from factloom.llm.tokencount import count_tokens, write_flat
@@ -62,5 +69,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.where("ordinal is not null").select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op9_token_counts": op9_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts}
 ORACLE_SQL: dict[str, str] = {}
