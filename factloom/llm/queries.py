@@ -32,6 +32,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(written(F.col("spans"), lambda s: s["base"]), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+#: Documents score at least this to be kept.
+KEEP = 0.3
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.quality import held_out, score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.bpe import decode_documents, encode_documents
 
@@ -69,5 +81,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.where("ordinal is not null").select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts}
 ORACLE_SQL: dict[str, str] = {}
