@@ -81,5 +81,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.where("ordinal is not null").select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.decontaminate import find_items
+
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("shared").cast("long").alias("n_shared"), F.col("size").cast("long").alias("n_shingles"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
