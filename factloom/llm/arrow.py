@@ -33,14 +33,15 @@ def map_texts(
     make: Callable[[], Callable[[pa.Array, list[str]], list[pa.Array]]],
     fields: str,
     limit: int = PIECE_BYTES,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Apply a batch function to (id, text) rows; a null text counts as empty.
 
     ``make`` runs once per task and returns the function, so models load once.
-    The result has the id column and ``fields`` (a DDL list).
+    The result has the id column, the columns named in ``keep``, and ``fields`` (a DDL list).
     """
-    source = rows.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = source.schema[0].dataType.simpleString()
+    source = rows.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(k) for k in keep))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -48,10 +49,10 @@ def map_texts(
         for batch in batches:
             for part in pieces(batch, 1, limit):
                 out = work(part.column(0), part.column(1).to_pylist())
-                names = names or [id_col, *(f.split()[0] for f in _split_fields(fields))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *out], names=names)
+                names = names or [id_col, *keep, *(f.split()[0] for f in _split_fields(fields))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *out], names=names)
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, {fields}")
+    return source.mapInArrow(run, f"{kept}, {fields}")
 
 
 def _split_fields(fields: str) -> list[str]:

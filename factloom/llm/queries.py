@@ -32,6 +32,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(written(F.col("spans"), lambda s: s["base"]), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"), keep=("url",)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: Documents score at least this to be kept.
 KEEP = 0.3
 
@@ -88,5 +94,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("shared").cast("long").alias("n_shared"), F.col("size").cast("long").alias("n_shingles"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
