@@ -63,6 +63,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.winnow import compare_edited, written
+
+    found = compare_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", written(F.col("hashes")).alias("fingerprint"), written(F.col("edited_hashes")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.secrets import BASE_KINDS, find_secrets, written
 
@@ -94,5 +101,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("shared").cast("long").alias("n_shared"), F.col("size").cast("long").alias("n_shingles"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_fingerprints": op5_fingerprints, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
