@@ -58,13 +58,30 @@ def chosen(text: Column) -> Column:
     return let(F.encode(text, "UTF-32"), of_text)
 
 
+def position(place: Column) -> Column:
+    """The code point at which a chosen gram begins, from 0."""
+    return F.shiftright(F.shiftleft(F.shiftright(place + (2**31 - 1), 31), 31) - place, 2).cast("int")
+
+
 def hashes(places: Column) -> Column:
     return F.transform(places, lambda p: F.shiftright(p + (2**31 - 1), 31).cast("int"))
 
 
 def positions(places: Column) -> Column:
-    """The code points at which the chosen grams begin, from 0."""
-    return F.transform(places, lambda p: F.shiftright(F.shiftleft(F.shiftright(p + (2**31 - 1), 31), 31) - p, 2).cast("int"))
+    return F.transform(places, position)
+
+
+def edited_hashes(places: Column, edited: Column, kept: Column) -> Column:
+    """Hashes of an edited text whose first ``kept`` code points are those of the text with the chosen ``places``.
+
+    A gram whose windows all lie in the kept part is chosen in both or neither; only the rest of the text, from early
+    enough to hold every window of the later grams, is winnowed.
+    """
+    begin = F.greatest(F.lit(0), kept - GRAM - 2 * WINDOW + 2)
+    border = F.when(begin > 0, kept - GRAM - WINDOW + 1).otherwise(-1)
+    old = F.filter(places, lambda p: position(p) <= border)
+    new = F.filter(chosen(F.substr(edited, begin + 1)), lambda p: position(p) + begin > border)
+    return hashes(F.concat(old, new))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,7 +129,9 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = chained.select("*", F.lead("text").over(window).alias("next"), F.length("text").alias("n_chars"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.when(~F.col("closing"), F.concat(F.left("text", F.col("n_chars") - half), F.left("next", half))))
-    rows = rows.select("bucket", "id", "closing", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hashes(chosen(F.col("text"))).alias("hashes"), hashes(chosen(F.col("edited"))).alias("edited_hashes"))
+    rows = rows.select("bucket", "id", "closing", "text", "n_chars", "edited", chosen(F.col("text")).alias("places"))
+    kept = F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")
+    rows = rows.select("bucket", "id", "closing", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hashes(F.col("places")).alias("hashes"), edited_hashes(F.col("places"), F.col("edited"), kept).alias("edited_hashes"))
     rows = rows.withColumn("next_hashes", F.lead("hashes").over(window)).where("not closing")
     return rows.select(
         F.col("id").alias(id_col),
