@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow import map_texts
+from factloom.llm.arrow import map_texts, pieces
 
 WIDTH = 6
 FILTERS = 24
@@ -169,3 +169,16 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
         return lambda _, texts: [pa.array(net.score(texts), pa.float64())]
 
     return map_texts(docs, id_col, text_col, make, "score double")
+
+
+def without_rejected(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, whose score is at least ``least``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, at):
+                scores = net.score([t or "" for t in piece.column(at).to_pylist()])
+                yield piece.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -50,12 +50,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
-def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_digest(docs: DataFrame) -> DataFrame:
     from factloom.llm.bpe import decode_documents, encode_documents
 
     path = ranks_path()
-    encoded = encode_documents(table(spark, sf_dir, "documents"), path)
-    return decode_documents(encoded, path).select(
+    return decode_documents(encode_documents(docs, path), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -63,6 +62,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.winnow import compare_edited, written
 

@@ -211,3 +211,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return found.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that name their component: one of each group of near-duplicates. Of rows that repeat
+    an id and a text one stays; rows without id stay where no row with an id is near them."""
+    named = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
+    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+    kept = docs.join(named, docs[id_col].eqNullSafe(named["kept_id"]), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
