@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.shipping import ship
+
 #: Where the tokenizer's ranks lie; any file of this format will do.
 RANKS = os.environ.get("BPE_RANKS", "")
 
@@ -21,6 +23,7 @@ def ranks_path() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,6 +76,14 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", written(F.col("hashes")).alias("fingerprint"), written(F.col("edited_hashes")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.dedup import find_repeats
+
+    found = find_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.secrets import BASE_KINDS, find_secrets, written
 
@@ -104,5 +115,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("shared").cast("long").alias("n_shared"), F.col("size").cast("long").alias("n_shingles"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_fingerprints": op5_fingerprints, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_fingerprints": op5_fingerprints, "op6_repeats": op6_repeats, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
