@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import match
+from factloom.operators.lineage import settled
 
 # Confidence of each change.
 UNCHANGED, UPDATED, ADDED, REVIEW = 0.96, 0.9, 0.9, 0.62
@@ -71,11 +72,11 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
 
     With old items and no new ones there is one row without items, as the reference has it.
     """
-    n, o = match.normalized(new), match.normalized(old)
+    n, o = settled(match.normalized(new)), settled(match.normalized(old))
     whole = n.where("question <> '' and answer <> ''")
     found = match.scored(match.candidates(whole, o))
     parts = match.model_groups(match.related_models(whole, o))
-    assigned = match.assign(found, parts)
+    assigned = settled(match.assign(found, parts))
     pairs = changed(assigned.where("outcome = 'MATCHED'").join(n.select(F.struct("*").alias("n")), F.col("new_id") == F.col("n.knowledge_id")).join(o.select(F.struct("*").alias("o")), F.col("old_id") == F.col("o.knowledge_id")))
     none = F.array().cast("array<string>")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.functions.models import related_models
+from factloom.operators.lineage import settled
 
 MAX_CANDIDATES = 5
 MARGIN = 0.08
@@ -123,22 +124,14 @@ def model_groups(pairs: DataFrame) -> DataFrame:
 
     Labels spread to the least name in reach, written to the checkpoint folder each round.
     """
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
     edges = pairs.select(F.concat(F.lit("n:"), "new_model").alias("a"), F.concat(F.lit("o:"), "old_model").alias("b"))
-    edges = edges.unionAll(edges.select("b", "a")).distinct().checkpoint()
+    edges = settled(edges.unionAll(edges.select("b", "a")).distinct())
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("part")).distinct()
     while True:
         least = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("part").alias("low"))
         spread = labels.join(least, F.col("node") == F.col("a"), "left").select("node", F.least("part", F.coalesce("low", "part")).alias("part"))
         jump = spread.select(F.col("node").alias("part"), F.col("part").alias("further"))
-        spread = spread.join(jump, "part", "left").select("node", F.least("part", F.coalesce("further", "part")).alias("part")).checkpoint()
+        spread = settled(spread.join(jump, "part", "left").select("node", F.least("part", F.coalesce("further", "part")).alias("part")))
         if spread.join(labels, ["node", "part"], "left_anti").limit(1).count() == 0:
             return spread
         labels = spread

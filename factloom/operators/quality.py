@@ -1,0 +1,104 @@
+"""Export gate, conflicts, rule checks and routing of question-and-answer items."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from factloom.functions import text as T
+from factloom.operators.facts import any_of
+
+# Texts and labels that block an item.
+MISSING_ANSWERS = ["", "暂无", "无", "未知", "待确认", "待补充", "资料未提供", "未提供"]
+TRUE_WORDS = ["是", "yes", "true", "1"]
+BLOCKING_REVIEWS = ["conflict", "missing", "price_conflict", "source_conflict"]
+CORE_TOPICS = ["价格", "优惠", "质保"]
+HIGH_RISK = ["承诺", "保证", "绝对", "最低价"]
+
+
+def truthy(c: Column) -> Column:
+    return F.trim(T.text(c)).isin(TRUE_WORDS)
+
+
+def missing(answer: Column) -> Column:
+    return F.trim(T.text(answer)).isin(MISSING_ANSWERS)
+
+
+def block_reason() -> Column:
+    """Why an item may not be exported, the first reason that holds; null if it may."""
+    return (
+        F.when(F.col("answer_type") == "need_confirm", "answer_type")
+        .when(truthy(F.col("need_confirm")), "need_confirm")
+        .when(F.col("review_type").isin(BLOCKING_REVIEWS), "review_type")
+        .when(missing(F.col("answer")), "missing_answer")
+    )
+
+
+def gated(items: DataFrame) -> DataFrame:
+    """Items with exportable and block_reason; a blocked item whose topic another item answers is 'covered'."""
+    marked = items.withColumn("block_reason", block_reason())
+    good = marked.where("block_reason is null").select("model", "category").distinct().withColumn("answered", F.lit(True))
+    out = marked.join(good, ["model", "category"], "left")
+    return out.withColumns({"exportable": F.col("block_reason").isNull(), "block_reason": F.when(F.col("block_reason").isNotNull() & F.col("answered"), "covered").otherwise(F.col("block_reason"))}).drop("answered")
+
+
+def price_conflicts(items: DataFrame) -> DataFrame:
+    """Exportable price items of one brand, model and trim with more than one price."""
+    good = items.where(block_reason().isNull() & (F.col("category") == "价格"))
+    prices = F.array_sort(F.collect_set("price"))
+    return good.groupBy("brand", "model", "trim").agg(prices.alias("p")).where("size(p) > 1").select("brand", "model", "trim", F.size("p").cast("long").alias("n_prices"), F.array_join(F.col("p").cast("array<string>"), ",").alias("prices"))
+
+
+def without_overview(items: DataFrame) -> DataFrame:
+    """Models with exportable prices but no exportable price item for all trims."""
+    priced = items.where(block_reason().isNull() & (F.col("category") == "价格"))
+    return priced.select("model").distinct().join(priced.where(F.col("trim") == "全系").select("model").distinct(), "model", "left_anti")
+
+
+def rule_issues(items: DataFrame) -> DataFrame:
+    """One row a finding: rag_id, issue_type, risk_level."""
+    issue = lambda cond, kind, level: F.when(cond, F.struct(F.lit(kind).alias("issue_type"), F.lit(level).alias("risk_level")))
+    found = F.array(
+        issue(F.trim(T.text(F.col("question"))) == "", "empty_question", "error"),
+        issue(F.trim(T.text(F.col("answer"))) == "", "empty_answer", "error"),
+        issue(block_reason().isNotNull(), "non_exportable", "warning"),
+        issue(F.col("n_refs") == 0, "no_fact_refs", "warning"),
+        issue((F.col("knowledge_type") == "dynamic") & (F.length("answer") > 180), "long_dynamic_answer", "warning"),
+        issue((F.col("knowledge_type") == "static") & T.has_any(F.col("answer"), ["免息", "优惠", "活动"]), "static_dynamic_mismatch", "warning"),
+    )
+    return items.select("rag_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("rag_id", "i.*")
+
+
+def qc_summary(items: DataFrame, issues: DataFrame) -> DataFrame:
+    counts = issues.agg(F.count_if(F.col("risk_level") == "warning").alias("warning"), F.count_if(F.col("risk_level") == "error").alias("error"))
+    out = items.agg(F.count(F.lit(1)).alias("total_rag")).crossJoin(counts)
+    out = out.withColumn("pass", F.greatest(F.col("total_rag") - F.col("warning") - F.col("error"), F.lit(0)))
+    return out.withColumn("overall_result", F.when(F.col("error") > 0, "需处理").when(F.col("warning") > 0, "需优化").otherwise("通过"))
+
+
+def routes(items: DataFrame, issues: DataFrame) -> DataFrame:
+    """rag_id, route (rule_issue, llm or rule_pass), and sorted reasons for the model."""
+    number_count = F.size(F.regexp_extract_all("answer", F.lit(r"([0-9]+)"), F.lit(1)))
+    why = lambda cond, name: F.when(cond, F.lit(name))
+    reasons = F.array_sort(
+        F.filter(
+            F.array(
+                why(F.col("knowledge_type") == "dynamic", "dynamic"),
+                why(number_count >= 3, "many_numbers"),
+                why(F.col("n_refs") > 1, "many_refs"),
+                why(T.has_any(F.col("answer"), HIGH_RISK), "high_risk_words"),
+                why(F.col("trim") != "全系", "scoped"),
+            ),
+            lambda x: x.isNotNull(),
+        )
+    )
+    flagged = issues.where("risk_level = 'error'").select("rag_id").distinct().withColumn("flagged", F.lit(True))
+    out = items.withColumn("reasons", reasons).join(flagged, "rag_id", "left")
+    blocked = F.coalesce("flagged", F.lit(False)) | block_reason().isNotNull()
+    return out.select("rag_id", F.when(blocked, "rule_issue").when(F.size("reasons") > 0, "llm").otherwise("rule_pass").alias("route"), F.when(blocked, "").otherwise(F.array_join("reasons", ",")).alias("reasons"))
+
+
+def config_heavy(items: DataFrame) -> DataFrame:
+    """Models where configuration makes up more than 45 % of at least 10 items and core topics number fewer than 4."""
+    out = items.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == "配置").alias("config"), F.count_if(any_of(*(F.col("category") == t for t in CORE_TOPICS))).alias("core"))
+    return out.where("n >= 10 and config > 0.45 * n and core < 4")
