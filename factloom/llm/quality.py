@@ -86,7 +86,7 @@ class Network:
         chunk = np.maximum(best, best[follow])
         squashed = np.tanh(chunk + self.bias)
         begins = last - halves + 1
-        mean = np.add.reduceat(squashed, begins, axis=0) / halves[:, None]
+        mean = np.add.reduceat(squashed, begins, axis=0, dtype=np.float64) / halves[:, None]
         high = np.maximum.reduceat(squashed, begins, axis=0)
         return follow, squashed, np.concatenate([mean, high], axis=1)
 
@@ -96,7 +96,7 @@ class Network:
         flat, halves = laid_out([t.encode() for t in texts])
         best, _ = self.responses(flat, int(halves.sum()))
         _, _, features = self.pooled(best, halves)
-        return 1 / (1 + np.exp(-np.clip(features.astype(np.float64) @ self.out + self.base[0], -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(features @ self.out.astype(np.float64) + self.base[0], -30, 30))), 6)
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
         rng = np.random.default_rng(seed)
@@ -125,7 +125,7 @@ class Network:
         slope = ((p - labels) / len(labels)).astype(np.float32)
         owner = np.repeat(np.arange(len(halves)), halves)
         mean_part, high_part = self.out[:FILTERS], self.out[FILTERS:]
-        down = (slope / halves)[owner][:, None] * mean_part
+        down = (slope / halves).astype(np.float32)[owner][:, None] * mean_part
         wins = squashed == features[:, FILTERS:][owner]
         down = (down + wins * (slope[owner][:, None] * high_part)) * (1 - squashed**2)
         source = np.where(best >= best[follow], at, at[follow])
@@ -135,7 +135,7 @@ class Network:
             cell = flat[source + j].astype(np.int64) * FILTERS + column
             table[j] = np.bincount(cell.ravel(), down.ravel(), 256 * FILTERS)
         decay = 1e-4
-        return table.reshape(self.table.shape) + decay * self.table, down.sum(axis=0), slope @ features + decay * self.out, np.array([slope.sum()], np.float32)
+        return table.reshape(self.table.shape) + decay * self.table, down.sum(axis=0), (slope @ features).astype(np.float32) + decay * self.out, np.array([slope.sum()], np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Network:
