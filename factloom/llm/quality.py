@@ -59,8 +59,12 @@ class Network:
         self.base = np.zeros(1, np.float32)
         self.constant: float | None = None
 
-    def responses(self, flat: np.ndarray, count: int, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Each half's greatest response of each filter, and if asked the position of each."""
+    def responses(self, flat: np.ndarray, halves: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Each half's greatest response of each filter, and if asked the position of each. Windows that would reach into
+        the next text have no response."""
+        count = int(halves.sum())
+        last = np.zeros(count, bool)
+        last[np.cumsum(halves) - 1] = True
         best = np.empty((count, FILTERS), np.float32)
         at = np.empty((count, FILTERS), np.int64) if where else None
         for a in range(0, count, STRIP):
@@ -70,6 +74,7 @@ class Network:
             for j in range(1, WIDTH):
                 got += self.table[j][flat[a * HALF + j : a * HALF + j + n]]
             got = got.reshape(b - a, HALF, FILTERS)
+            got[last[a:b], HALF - WIDTH + 1 :] = -1e9
             if where:
                 top = got.argmax(axis=1)
                 best[a:b] = np.take_along_axis(got, top[:, None, :], axis=1)[:, 0]
@@ -94,7 +99,7 @@ class Network:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         flat, halves = laid_out([t.encode() for t in texts])
-        best, _ = self.responses(flat, int(halves.sum()))
+        best, _ = self.responses(flat, halves)
         _, _, features = self.pooled(best, halves)
         return np.round(1 / (1 + np.exp(-np.clip(features @ self.out.astype(np.float64) + self.base[0], -30, 30))), 6)
 
@@ -119,7 +124,7 @@ class Network:
 
     def _gradients(self, texts: list[bytes], labels: np.ndarray):
         flat, halves = laid_out(texts)
-        best, at = self.responses(flat, int(halves.sum()), where=True)
+        best, at = self.responses(flat, halves, where=True)
         follow, squashed, features = self.pooled(best, halves)
         p = 1 / (1 + np.exp(-np.clip(features @ self.out + self.base[0], -30, 30)))
         slope = ((p - labels) / len(labels)).astype(np.float32)
