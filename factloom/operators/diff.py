@@ -72,6 +72,9 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
 
     With old items and no new ones there is one row without items, as the reference has it.
     """
+    if new.limit(1).count() == 0 and old.limit(1).count() > 0:
+        empty = "0 AS side, CAST(0 AS BIGINT) AS ord, CAST(NULL AS STRING) AS new_id, CAST(NULL AS STRING) AS old_id, 'REVIEW_REQUIRED' AS change_type, 'NO_NEW_KNOWLEDGE' AS reason_code, 'UNMATCHED' AS match_method"
+        return old.sparkSession.sql(f"SELECT {empty}, {match.REVIEW}D AS match_confidence, {REVIEW}D AS change_confidence, {REVIEW}D AS overall_confidence, CAST(array() AS ARRAY<STRING>) AS changed_fields, '' AS candidate_ids")
     n, o = settled(match.normalized(new)), settled(match.normalized(old))
     whole = n.where("question <> '' and answer <> ''")
     found = match.scored(match.candidates(whole, o))
