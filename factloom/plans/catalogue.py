@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import dates, models
+from factloom.functions import dates, models, prices
 from factloom.functions import text as T
-from factloom.operators import diff, facts, match, merge, quality
+from factloom.operators import diff, facts, match, merge, quality, review
 from factloom.plans import entities as E
 from factloom.shipping import ship
-from factloom.sources import sheets
+from factloom.sources import chunks, sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -346,7 +346,7 @@ def exportable_split(spark, sf_dir):
     return good.groupBy(F.col("knowledge_type").alias("sheet")).agg(F.count(F.lit(1)).alias("items"), F.count_distinct("model").alias("models"))
 
 
-@query(f"SELECT brand, model, trim, count(DISTINCT price) AS n_prices, string_agg(DISTINCT CAST(price AS VARCHAR), ',' ORDER BY CAST(price AS VARCHAR)) AS prices FROM ({MARKED}) WHERE why IS NULL AND category = '价格' GROUP BY ALL HAVING count(DISTINCT price) > 1".replace("string_agg(DISTINCT CAST(price AS VARCHAR), ',' ORDER BY CAST(price AS VARCHAR))", "array_to_string(list_sort(list_distinct(list(price))), ',')"))
+@query(f"SELECT brand, model, trim, count(DISTINCT price) AS n_prices, array_to_string(list_sort(list_distinct(list(price))), ',') AS prices FROM ({MARKED}) WHERE why IS NULL AND category = '价格' GROUP BY ALL HAVING count(DISTINCT price) > 1")
 def price_conflicts(spark, sf_dir):
     return quality.price_conflicts(E.rag_items(spark, sf_dir))
 
@@ -456,3 +456,79 @@ def fact_distribution(spark, sf_dir):
 def topk_per_group(spark, sf_dir):
     order = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
     return read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.row_number().over(order).alias("k")).where("k <= 5").drop("k")
+
+
+# ---- prices, dedup variants, linkage, audits ----
+
+
+@query("SELECT p_partkey, CASE WHEN n < 10 THEN d1 WHEN n < 100 THEN CASE WHEN n < 20 THEN '' ELSE d1 END || '十' || CASE WHEN n % 10 = 0 THEN '' ELSE d2 END ELSE translate(CAST(n AS VARCHAR), '0123456789', '零一二三四五六七八九') END || '点' || translate(CAST(n % 7 AS VARCHAR), '0123456789', '零一二三四五六七八九') AS said FROM (SELECT p_partkey, p_partkey % 230 AS n, translate(left(CAST(p_partkey % 230 AS VARCHAR), 1), '0123456789', '零一二三四五六七八九') AS d1, translate(substr(CAST(p_partkey % 230 AS VARCHAR), 2, 1), '0123456789', '零一二三四五六七八九') AS d2 FROM part)")
+def spoken_numbers(spark, sf_dir):
+    n = F.col("p_partkey") % 230
+    return read(spark, sf_dir, "part").select("p_partkey", prices.spoken(F.concat(n.cast("string"), F.lit("."), (n % 7).cast("string"))).alias("said"))
+
+
+@query("SELECT p_partkey, printf('%.2f,%.2f', (100 + p_partkey % 9000) / 100.0::DOUBLE, (200 + p_partkey % 9000) / 100.0::DOUBLE) AS prices FROM part")
+def price_values(spark, sf_dir):
+    amount = F.lit(10000) + F.col("p_partkey") % 9000 * 100
+    said = F.concat(F.lit("指导价"), F.format_number(amount, 0), F.lit("元，顶配"), (amount + 10000).cast("string"), F.lit("元"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(prices.price_set(said), lambda v: F.format_string("%.2f", v)), ",").alias("prices"))
+
+
+@query(f"SELECT arg_min(rag_id, ord) AS rag_id, count(*) AS members FROM ({RAG}) GROUP BY model, category, lower(regexp_replace(question, '\\s+', '', 'g')), left(lower(regexp_replace(answer, '\\s+', '', 'g')), 80)")
+def rag_dedup_merge(spark, sf_dir):
+    return review.rag_deduplicated(E.rag_items(spark, sf_dir)).select("rag_id", "members")
+
+
+@query(f"SELECT rag_id, k > 1 AS uncertain FROM (SELECT rag_id, answer, row_number() OVER w AS k, first_value(answer) OVER w AS a FROM ({RAG}) WINDOW w AS (PARTITION BY model, trim, category, lower(regexp_replace(question, '\\s+', '', 'g')) ORDER BY ord)) WHERE k = 1 OR trim(a) <> trim(answer)")
+def restore_dedup(spark, sf_dir):
+    return review.restore_deduplicated(E.rag_items(spark, sf_dir)).select("rag_id", "uncertain")
+
+
+@query("SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1")
+def first_per_key(spark, sf_dir):
+    return review.first_of(read(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey").select("s_nationkey", "s_suppkey")
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS fact, CAST(l_quantity AS BIGINT)::VARCHAR AS missing FROM lineitem JOIN part ON l_partkey = p_partkey WHERE NOT contains('尺寸' || p_size || '价' || CAST(round(p_retailprice) AS BIGINT), CAST(l_quantity AS BIGINT)::VARCHAR)")
+def grounding_guard(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact"), F.concat(F.lit("数量"), F.col("l_quantity").cast("long").cast("string")).alias("content"))
+    material = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("尺寸"), F.col("p_size").cast("string"), F.lit("价"), F.round("p_retailprice").cast("long").cast("string")).alias("text"))
+    return review.ungrounded(lines, material, "l_partkey").select("fact", F.array_join("missing", ",").alias("missing"))
+
+
+@query("WITH r AS (SELECT p_partkey AS record, p_brand AS batch, CAST(round(p_retailprice) AS BIGINT) AS price FROM part), u AS (SELECT batch, price, min(record) AS record FROM r GROUP BY 1, 2 HAVING count(*) = 1) SELECT l_orderkey * 10 + l_linenumber AS fact, u.record FROM lineitem JOIN r ON l_partkey = r.record JOIN u ON u.batch = r.batch AND u.price = r.price")
+def record_linkage(spark, sf_dir):
+    records = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("record"), F.col("p_brand").alias("batch"), F.round("p_retailprice").cast("long").alias("price"))
+    stated = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("record"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact")).join(records, "record").drop("record")
+    return review.linked_by_price(records, stated, "batch").select("fact", "record")
+
+
+@query("""WITH a AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2))) AS w FROM benchmark), b AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2))) AS w FROM documents),
+s AS (SELECT item_id, doc_id, count(*) AS n FROM a JOIN b USING (w) GROUP BY 1, 2), j AS (SELECT item_id, doc_id, round(n / (na + nb - n)::DOUBLE, 6) AS jaccard FROM s JOIN (SELECT item_id, count(*) AS na FROM a GROUP BY 1) USING (item_id) JOIN (SELECT doc_id, count(*) AS nb FROM b GROUP BY 1) USING (doc_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY jaccard DESC, doc_id) AS rank FROM j) WHERE rank <= 5""")
+def token_jaccard_topk(spark, sf_dir):
+    return review.shared_tokens(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", 5)
+
+
+@query()
+def audit_similarity(spark, sf_dir):
+    ship(spark)
+    near = review.shared_tokens(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", 5)
+    pairs = near.join(read(spark, sf_dir, "benchmark").withColumnRenamed("text", "a"), "item_id").join(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("b")), "doc_id")
+    return pairs.select("item_id", "doc_id", "rank", F.round(review.similarity(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+@query()
+def doc_chunks(spark, sf_dir):
+    ship(spark)
+    return chunks.chunked(read(spark, sf_dir, "documents"))
+
+
+@query()
+def relation_groups(spark, sf_dir):
+    ship(spark)
+    d = read(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(
+        F.col("l_suppkey").cast("string").alias("part"), F.col("l_orderkey").alias("review_ord"), F.concat(F.lit("DIFF-"), F.col("l_orderkey").cast("string")).alias("diff_id"),
+        F.when(F.col("l_orderkey") % 3 == 0, "MANY_TO_ONE").otherwise("ONE_TO_MANY").alias("reason"), F.concat(F.lit("OLD-"), F.col("l_partkey").cast("string")).alias("old_id"), F.col("l_linenumber").alias("old_place"),
+    )
+    return review.relation_groups(d)
