@@ -30,3 +30,13 @@ def policy_dates(text: Column) -> Column:
         .when(g(MONTH, 1) != "", row(F.concat(g(MONTH, 1), F.lit("年"), g(MONTH, 2).cast("int").cast("string"), F.lit("月")), unknown, unknown))
         .otherwise(row(unknown, unknown, unknown))
     )
+
+
+def policy_periods(text: Column) -> Column:
+    """Distinct months (YYYY年M月) of a text that speaks of dates."""
+    whole = F.regexp_extract_all(text, F.lit(r"(\d{4}年\d{1,2}月)"), F.lit(1))
+    months = F.transform(whole, lambda m: F.concat(F.substring(m, 1, 5), F.regexp_extract(m, r"年(\d{1,2})月", 1).cast("int").cast("string"), F.lit("月")))
+    said = F.lit(False)
+    for w in DATE_WORDS:
+        said = said | text.contains(w)
+    return F.when(said, F.array_distinct(months)).otherwise(F.array().cast("array<string>"))

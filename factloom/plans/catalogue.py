@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import dates, models, prices
 from factloom.functions import text as T
-from factloom.operators import diff, facts, match, merge, quality, review
+from factloom.operators import coverage, diff, facts, match, merge, quality, review
 from factloom.plans import entities as E
 from factloom.shipping import ship
 from factloom.sources import chunks, sheets
@@ -532,3 +532,76 @@ def relation_groups(spark, sf_dir):
         F.when(F.col("l_orderkey") % 3 == 0, "MANY_TO_ONE").otherwise("ONE_TO_MANY").alias("reason"), F.concat(F.lit("OLD-"), F.col("l_partkey").cast("string")).alias("old_id"), F.col("l_linenumber").alias("old_place"),
     )
     return review.relation_groups(d)
+
+
+# ---- coverage and open points ----
+
+SOURCE = """SELECT p_partkey AS record, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '现金' END AS cash, CASE WHEN p_partkey % 4 = 0 THEN '-' ELSE '置换' END AS trade_in, CASE WHEN p_size % 2 = 0 THEN '免息' ELSE '无数据' END AS finance, '质保' AS benefit, CASE WHEN p_size % 5 = 0 THEN '限时' ELSE '/' END AS activity FROM part"""
+STATED = """SELECT l_partkey AS record, l_orderkey * 10 + l_linenumber AS fact_id, CASE l_linenumber % 5 WHEN 0 THEN '现金直降' WHEN 1 THEN '旧车置换' WHEN 2 THEN '贷款免息' WHEN 3 THEN '保养权益' ELSE '限时试驾' END AS content FROM lineitem"""
+TOLD = f"SELECT fact_id, content AS answer FROM ({STATED}) t WHERE fact_id % 3 = 0"
+WORDS_SQL = "CASE intent " + " ".join(f"WHEN '{i}' THEN {any_sql('@', w)}" for i, w in coverage.DYNAMIC_WORDS.items()) + " END"
+
+
+@query(
+    f"""WITH f AS (SELECT record, unnest(['cash', 'trade_in', 'finance', 'benefit', 'activity']) AS intent, unnest([cash, trade_in, finance, benefit, activity]) AS value FROM ({SOURCE})), w AS (SELECT record, intent FROM f WHERE value NOT IN ('', '-', '/', '无数据')),
+s AS (SELECT DISTINCT w.record, w.intent, fact_id FROM w JOIN ({STATED}) c ON w.record = c.record WHERE {WORDS_SQL.replace('@', 'content')}), t AS (SELECT DISTINCT record, intent FROM s JOIN ({TOLD}) a USING (fact_id) WHERE {WORDS_SQL.replace('@', 'answer')})
+SELECT intent, count(*) AS source, count(x.record) AS fact, count(t.record) AS answerable, round(count(t.record) / count(*)::DOUBLE, 4) AS ratio FROM w LEFT JOIN (SELECT DISTINCT record, intent FROM s) x USING (record, intent) LEFT JOIN t USING (record, intent) GROUP BY 1"""
+)
+def coverage_dynamic(spark, sf_dir):
+    E.load(spark, sf_dir, "part", "lineitem")
+    return coverage.dynamic_coverage(spark.sql(SOURCE), spark.sql(STATED), spark.sql(TOLD))
+
+
+PRICED = "SELECT p_type AS model, p_partkey AS fact_id, CAST(floor(p_retailprice / 10) AS BIGINT) AS price FROM part"
+
+
+@query(
+    f"""WITH e AS (SELECT model, min(price) AS low, max(price) AS high FROM ({PRICED}) GROUP BY 1 HAVING min(price) < max(price)), o AS (SELECT p_partkey AS rag_id, p_type AS model, '价格' || CAST(floor(p_retailprice / 10) AS BIGINT) || '起' AS answer FROM part WHERE p_size % 7 = 0)
+SELECT rag_id, NOT contains(answer, low::VARCHAR) OR NOT contains(answer, high::VARCHAR) AS unnamed, (SELECT count(*) FROM ({PRICED}) p WHERE p.model = o.model AND p.price IN (low, high) AND p.fact_id <> rag_id) AS uncited FROM o JOIN e USING (model) WHERE unnamed OR uncited > 0"""
+)
+def price_range_guard(spark, sf_dir):
+    E.load(spark, sf_dir, "part")
+    d = read(spark, sf_dir, "part").where("p_size % 7 = 0")
+    overviews = d.select(F.col("p_partkey").alias("rag_id"), F.col("p_type").alias("model"), F.concat(F.lit("价格"), F.floor(F.col("p_retailprice") / 10).cast("string"), F.lit("起")).alias("answer"), F.array("p_partkey").alias("refs"))
+    return coverage.range_guard(overviews, spark.sql(PRICED))
+
+
+@query("SELECT p_partkey AS rag_id, CASE WHEN p_size % 3 = 0 THEN coalesce((SELECT arg_min(CASE l_returnflag WHEN 'R' THEN '' ELSE l_returnflag END, CASE WHEN l_returnflag <> 'R' THEN l_orderkey * 10 + l_linenumber END) FROM lineitem WHERE l_partkey = p_partkey), '') ELSE p_type END AS category, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linestatus = 'O') THEN 'dynamic' ELSE 'static' END AS knowledge_type FROM part")
+def rag_metadata(spark, sf_dir):
+    stated = read(spark, sf_dir, "lineitem").select("l_partkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("fact_id"), F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_returnflag")).alias("category"), F.when(F.col("l_linestatus") == "O", "dynamic").otherwise("static").alias("knowledge_type"))
+    refs = stated.groupBy(F.col("l_partkey").alias("rag_id")).agg(F.array_sort(F.collect_list("fact_id")).alias("refs"))
+    items = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("rag_id"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")).alias("category")).join(refs, "rag_id", "left")
+    return coverage.filled_from_facts(items, stated)
+
+
+@query("SELECT c_custkey AS gap_id FROM customer WHERE CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_acctbal > 9000) ELSE NOT EXISTS (SELECT 1 FROM customer x WHERE x.c_acctbal > 9000 AND x.c_nationkey = customer.c_nationkey AND x.c_mktsegment = customer.c_mktsegment) END")
+def open_gaps(spark, sf_dir):
+    d = read(spark, sf_dir, "customer")
+    nation = F.col("c_nationkey").cast("string")
+    gaps = d.select(F.col("c_custkey").alias("gap_id"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise(nation).alias("model"), F.col("c_mktsegment").alias("category"))
+    return coverage.open_gaps(gaps, d.where("c_acctbal > 9000").select(nation.alias("model"), F.col("c_mktsegment").alias("category")))
+
+
+MATERIAL = "SELECT s_nationkey AS doc_id, string_agg('【车型记录' || s_suppkey || '】' || chr(10) || '名称: ' || s_name || chr(10) || '国家:' || s_nationkey, chr(10)) AS text FROM supplier GROUP BY 1"
+
+
+@query("SELECT s_nationkey::BIGINT AS doc_id, field, CASE field WHEN '名称' THEN s_name ELSE s_nationkey::VARCHAR END AS value, count(*) AS n FROM supplier, (SELECT unnest(['名称', '国家']) AS field) GROUP BY ALL")
+def record_split(spark, sf_dir):
+    E.load(spark, sf_dir, "supplier")
+    material = spark.sql(MATERIAL.replace("string_agg(", "concat_ws(chr(10), collect_list(").replace(", chr(10)) AS text", ")) AS text"))
+    found = sheets.parsed_records(material.withColumn("doc_id", F.col("doc_id").cast("long")))
+    return found.groupBy("doc_id", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 2) THEN y || '年' || m || '月' ELSE '' END AS periods FROM ({POLICY})")
+def policy_periods(spark, sf_dir):
+    E.load(spark, sf_dir, "orders")
+    return spark.sql(POLICY).select("o_orderkey", F.array_join(dates.policy_periods(F.col("t")), ",").alias("periods"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS same FROM part")
+def version_alias(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    left = F.when(k == 2, "m6").otherwise("2024款豪华版")
+    right = F.when(k == 0, "豪华版").when(k == 1, "2024款 豪华版").when(k == 2, "m6 pro").otherwise("尊贵版")
+    return read(spark, sf_dir, "part").select("p_partkey", coverage.version_alias(left, right).alias("same"))

@@ -57,3 +57,10 @@ def record_blocks(material: DataFrame, marker: str) -> DataFrame:
     """Lines (doc_id, line, text) cut into records at lines that hold a marker; record 0 is the shared context."""
     k = F.count_if(F.col("text").contains(marker)).over(Window.partitionBy("doc_id").orderBy("line"))
     return material.withColumn("record", k)
+
+
+def parsed_records(material: DataFrame, marker: str = "【车型记录") -> DataFrame:
+    """Texts (doc_id, text) whose records begin at marker lines: doc_id, record (from 1), field, value of each 'field: value' line."""
+    blocks = record_blocks(lines(material), marker).where("record > 0")
+    found = blocks.where(F.col("text").contains(":") & ~F.col("text").startswith(marker))
+    return found.select("doc_id", "record", F.trim(F.substring_index("text", ":", 1)).alias("field"), F.trim(F.expr("substr(text, instr(text, ':') + 1)")).alias("value"))
