@@ -13,6 +13,7 @@ from factloom.operators import coverage, diff, facts, match, merge, quality, rev
 from factloom.plans import entities as E
 from factloom.shipping import ship
 from factloom.sources import chunks, sheets
+from factloom.streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -605,3 +606,11 @@ def version_alias(spark, sf_dir):
     left = F.when(k == 2, "m6").otherwise("2024款豪华版")
     right = F.when(k == 0, "豪华版").when(k == 1, "2024款 豪华版").when(k == 2, "m6 pro").otherwise("尊贵版")
     return read(spark, sf_dir, "part").select("p_partkey", coverage.version_alias(left, right).alias("same"))
+
+
+# ---- streaming extension, on the table ----
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return updates.windowed_counts(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
