@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,16 @@ def pieces(batch: pa.RecordBatch, column: int = 1, limit: int = PIECE_BYTES) ->
         yield batch.slice(start)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, often beside those of other operators."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(
     rows: DataFrame,
     id_col: str,
@@ -51,6 +62,8 @@ def map_texts(
                 out = work(part.column(0), part.column(1).to_pylist())
                 names = names or [id_col, *keep, *(f.split()[0] for f in _split_fields(fields))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *out], names=names)
+        del work
+        trim()
 
     return source.mapInArrow(run, f"{kept}, {fields}")
 

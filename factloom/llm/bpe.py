@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.arrow import map_texts
 
-MAX_CACHED = 150_000
+MAX_CACHED = 100_000
+PIECE = 1 << 19  # bytes of text encoded at a time
 SHORT = 48
 NONE = 1 << 40
 
@@ -298,7 +299,24 @@ def encode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", text_co
 
         return work
 
-    return map_texts(rows, id_col, text_col, make, "ids array<int>, ends array<int>")
+    return map_texts(rows, id_col, text_col, make, "ids array<int>, ends array<int>", limit=PIECE)
+
+
+def round_trip(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encoding and decoding in one pass of one worker: the id, ids, and decoded, the bytes that these ids stand for."""
+
+    def make():
+        coder = encoder(path)
+
+        def work(_, texts):
+            ids, stops = coder.encode(texts)
+            bounds = np.concatenate([[0], stops]).astype(np.int32)
+            decoded = [coder.decode(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            return [pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.array(decoded, pa.binary())]
+
+        return work
+
+    return map_texts(rows, id_col, text_col, make, "ids array<int>, decoded binary", limit=PIECE)
 
 
 def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

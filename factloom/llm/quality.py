@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow import map_texts, pieces
+from factloom.llm.arrow import map_texts, pieces, trim
 
 WIDTH = 6
 FILTERS = 24
@@ -185,5 +185,6 @@ def without_rejected(docs: DataFrame, net: Network, least: float, text_col: str
             for piece in pieces(batch, at):
                 scores = net.score([t or "" for t in piece.column(at).to_pylist()])
                 yield piece.filter(pa.array(scores >= least))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -54,10 +54,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digest(docs: DataFrame) -> DataFrame:
-    from factloom.llm.bpe import decode_documents, encode_documents
+    from factloom.llm.bpe import round_trip
 
-    path = ranks_path()
-    return decode_documents(encode_documents(docs, path), path).select(
+    return round_trip(docs, ranks_path()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -36,6 +36,8 @@ def test_bpe_encodes_as_the_library_and_decodes_back(docs, texts, reference):
     assert sorted((r["doc_id"], list(r["ids"])) for r in found.collect()) == want
     decoded = sorted((r["doc_id"], bytes(r["decoded"]).decode()) for r in bpe.decode_documents(found, PATH).collect())
     assert decoded == sorted((i, t or "") for i, t in texts)
+    both = bpe.round_trip(docs, PATH).collect()
+    assert sorted((r["doc_id"], list(r["ids"])) for r in both) == want and sorted((r["doc_id"], bytes(r["decoded"]).decode()) for r in both) == decoded
     for r in found.collect():
         assert len(r["ends"]) == len(r["ids"]) and list(r["ends"]) == sorted(r["ends"])
 
