@@ -6,7 +6,9 @@
 3. A minimizer that occurs once has no repeats. One whose segments are all the same bytes is repeated throughout. Only
    the distinct segments of other minimizers need their bytes.
 4. These are dealt out by minimizer into shards of bounded size; each shard is suffix-sorted by induced sorting, and
-   windows equal to a neighbour's in that order are repeated.
+   windows equal to a neighbour's in that order are repeated. A minimizer with over HOT different segments (a passage
+   that very many texts share in different surroundings) would fill one shard: its windows are counted by 128-bit
+   hashes instead, which any number of tasks share.
 5. The spans of each distinct text unite, and every document takes its text's result.
 
 Only step 4 looks at bytes of several documents, and no step gathers the members of a group: hot minimizers and hot
@@ -21,19 +23,23 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow import pieces, stored
+from factloom.llm.arrow import pieces, stored, trim
 from factloom.llm.decontaminate import POWERS, _byte_values
 from factloom.llm.suffixes import repeated, suffix_array
 
 LENGTH = 200
 GRAM = 24
 SHARD_BYTES = 4 << 20
+#: Different segments of one minimizer that a shard takes, about 20 MB.
+HOT = 1 << 16
+MAX_HOT = 10_000
 #: The low bits of a hash that give way to its place, to find the leftmost and rightmost least.
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -92,6 +98,7 @@ def _segment_rows(batches):
             take = pa.array(owner)
             columns = [piece.column(0).take(take), piece.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(least), pa.array(content), pa.array(several)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "copies", "start", "size", "least", "content", "several"])
+    trim()
 
 
 def _cut(batches):
@@ -150,6 +157,36 @@ def _shard(batches):
     keep = np.flatnonzero([bool(s) for s in spans])
     if len(keep):
         yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().take(pa.array(keep)), table.column(1).combine_chunks().take(pa.array(keep)), pa.array([spans[k] for k in keep], SPANS_TYPE)], names=["least", "content", "spans"])
+    del table, parts, text, order, again, spans
+    trim()
+
+
+@cache
+def _other_values() -> np.ndarray:
+    return np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _window_rows(batches):
+    """Two hashes of each window of the given segments."""
+    for batch in batches:
+        for piece in pieces(batch, 3, 1 << 18):
+            parts = piece.column(3).to_pylist()
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            text = np.frombuffer(b"".join(parts), np.uint8)
+            POWERS.need(len(text) + 1)
+            ends = np.cumsum(sizes)
+            count = np.maximum(sizes - LENGTH + 1, 0)
+            owner = np.repeat(np.arange(len(parts)), count)
+            start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            place = (ends - sizes)[owner] + start
+            hashes = []
+            for values in (_byte_values(), _other_values()):
+                sums = np.zeros(len(text) + 1, np.uint64)
+                np.cumsum(values[text] * POWERS.up[: len(text)], out=sums[1:])
+                hashes.append(pa.array(_mixed((sums[place + LENGTH] - sums[place]) * POWERS.down[place]).view(np.int64)))
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([*(piece.column(k).take(take) for k in range(3)), pa.array(start.astype(np.int32)), *hashes], names=["least", "content", "copies", "start", "h1", "h2"])
+    trim()
 
 
 def _results(batches):
@@ -179,7 +216,7 @@ def _results(batches):
             )
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """Columns: the id, n_bytes, spans (removed byte runs: start, end), kept_sha256."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -198,10 +235,22 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = hits.where("alike").select("key", "start", (F.col("start") + F.col("size")).alias("end"))
     mixed = hits.where("not alike")
     chosen = stored(mixed.groupBy("least", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "start", "size")).alias("at")), "chosen")
-    wanted = chosen.select("at.key", F.struct("least", "content", "copies", "at.start", "at.size").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))  # at most a text's own segments
-    cut = texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_cut, "least long, content long, copies long, bytes binary")
-    size = chosen.agg(F.sum("at.size")).first()[0] or 0
-    spans = cut.repartition(max(1, math.ceil(size / shard_bytes)), "least").mapInArrow(_shard, f"least long, content long, spans {SPANS}")
+    crowded = stored(chosen.groupBy("least").count().where(F.col("count") > hot).select("least"), "crowded")
+    crowds = crowded.limit(MAX_HOT + 1).count()
+    crowded = F.broadcast(crowded) if crowds <= MAX_HOT else crowded
+    calm = chosen.join(crowded, "least", "left_anti") if crowds else chosen
+
+    def cut(rows: DataFrame) -> DataFrame:
+        wanted = rows.select("at.key", F.struct("least", "content", "copies", "at.start", "at.size").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))  # at most a text's own segments
+        return texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_cut, "least long, content long, copies long, bytes binary")
+
+    size = calm.agg(F.sum("at.size")).first()[0] or 0
+    spans = cut(calm).repartition(max(1, math.ceil(size / shard_bytes)), "least").mapInArrow(_shard, f"least long, content long, spans {SPANS}")
+    if crowds:
+        windows = stored(cut(chosen.join(crowded, "least", "left_semi")).mapInArrow(_window_rows, "least long, content long, copies long, start int, h1 long, h2 long"), "windows")
+        again = windows.groupBy("least", "h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("least", "h1", "h2")
+        starts = windows.join(again, ["least", "h1", "h2"], "left_semi").groupBy("least", "content").agg(F.collect_list("start").alias("starts"))  # at most a segment's own windows
+        spans = spans.unionAll(starts.select("least", "content", F.transform("starts", lambda x: F.struct(x.alias("start"), (x + LENGTH).alias("end")))))
     part = mixed.join(spans, ["least", "content"]).select("key", "start", F.explode("spans").alias("s")).select("key", (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"))
     removed = whole.unionAll(part).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     results = texts.select("key", "copies", "text").join(removed, "key", "left").select("key", "copies", "text", "found").mapInArrow(_results, f"key binary, n_bytes long, spans {SPANS}, kept_sha256 string")

@@ -112,10 +112,10 @@ def _removed(rows):
     return out
 
 
-@pytest.mark.parametrize("shard", [4 << 20, 2000])
-def test_repeated_strings(spark, docs, no_docs, texts, shard):
+@pytest.mark.parametrize("shard, hot", [(4 << 20, 4096), (2000, 4096), (4 << 20, 1), (2000, 0)])
+def test_repeated_strings(spark, docs, no_docs, texts, shard, hot):
     want = sorted((i, *r) for (i, _), r in zip(texts, _removed([(t or "").encode() for _, t in texts])))
-    got = sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in dedup.find_repeats(docs, shard_bytes=shard).collect())
+    got = sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in dedup.find_repeats(docs, shard_bytes=shard, hot=hot).collect())
     assert got == want and sum(r[2] for r in want) > 2000
     assert dedup.find_repeats(no_docs).count() == 0
 
