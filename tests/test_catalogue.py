@@ -52,6 +52,6 @@ def test_entry_runs(spark):
 
 
 def test_entry_stands_without_the_training_data_parts(tmp_path):
-    code = "import sys; sys.modules['factloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not any(q.startswith('op') for q in e.queries()); assert e.oracle_sql()"
+    code = "import sys; sys.modules['factloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not any(q[:2] == 'op' and q[2].isdigit() for q in e.queries()); assert e.oracle_sql()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=os.environ | {"PYTHONPATH": root})
