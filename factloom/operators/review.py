@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.lineage import settled
 
 ANSWER_PREFIX = 80
+#: Links between reviews and old items that one task follows in order.
+SMALL = 10_000
 
 
 def rag_deduplicated(items: DataFrame) -> DataFrame:
@@ -49,34 +52,50 @@ def linked_by_price(records: DataFrame, facts: DataFrame, batch: str) -> DataFra
     return facts.join(only.select(batch, "price", "record"), [batch, "price"])
 
 
-def relation_groups(candidates: DataFrame) -> DataFrame:
-    """Groups of reviews that share old items. candidates: part, review_ord, diff_id, reason, old_id, old_place.
+def relation_groups(candidates: DataFrame, small: int = SMALL) -> DataFrame:
+    """Groups of reviews that share old items. candidates: review_ord, diff_id, reason, old_id, old_place.
 
     Reviews of several old items by MANY_TO_ONE stand alone; then each old item, in order of first mention, takes its
-    reviews that no earlier one took, if two or more are left; what remains stands alone. Order matters inside a part
-    (a part shares no old item with another), so each part is grouped on its own. Columns: group_id, diff_id.
-    """
+    reviews that no earlier one took, if two or more are left; what remains stands alone. Columns: group_id, diff_id.
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["review_ord", "old_place"])
-        out, taken = [], set()
-        by_old: dict[str, list[str]] = {}
-        for (_, diff_id), own in rows.groupby(["review_ord", "diff_id"], sort=True):
-            if own["reason"].iloc[0] == "MANY_TO_ONE" and len(own) > 1:
-                out.append((f"REL-{diff_id}", diff_id))
-                taken.add(diff_id)
-            else:
-                for old_id in own["old_id"]:
-                    by_old.setdefault(old_id, []).append(diff_id)
-        for old_id, members in by_old.items():
-            free = [m for m in members if m not in taken]
-            if len(free) > 1:
-                out += [(f"REL-{old_id}", m) for m in free]
-                taken.update(free)
-        out += [(f"REL-{d}", d) for d in dict.fromkeys(rows["diff_id"]) if d not in taken]
-        return pd.DataFrame(out, columns=["group_id", "diff_id"])
-
-    return candidates.groupBy("part").applyInPandas(group, "group_id string, diff_id string")
+    One component of the review/old-item graph may hold nearly all rows, so the order is followed without gathering one:
+    a review is surely free for its first old item still open. An old item with two such reviews takes what reaches it,
+    one that fewer than two can reach takes nothing and its reviews go on to their next. The first open item is always
+    decided, so rounds end; the last ``small`` links are followed one by one in one task.
+    """
+    listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("old_place", "old_id"))), lambda x: x["old_id"]))
+    reviews = settled(candidates.groupBy("review_ord", "diff_id").agg(F.min_by("reason", F.struct("old_place", "old_id")).alias("reason"), listed.alias("olds")))
+    alone = (F.col("reason") == "MANY_TO_ONE") & (F.size("olds") > 1)
+    links = reviews.where(~F.coalesce(alone, F.lit(False))).select("review_ord", "diff_id", F.posexplode("olds").alias("place", "old_id"))
+    first = links.groupBy("old_id").agg(F.min(F.struct("review_ord", "diff_id", "place")).alias("turn"))
+    live = settled(links.join(first, "old_id").select("diff_id", "old_id", "turn", F.lit(False).alias("takes")))
+    taken = None
+    while (count := live.count()) > small:
+        head = F.col("turn") == F.min("turn").over(Window.partitionBy("diff_id"))
+        led = live.withColumn("head", head)
+        reach = led.groupBy("old_id").agg((F.bool_or("takes") | (F.count_if("head") > 1)).alias("now"), (F.count(F.lit(1)) > 1).alias("may"))
+        led = led.drop("takes").join(reach, "old_id").withColumn("goes", F.max(F.col("head") & F.col("now")).over(Window.partitionBy("diff_id")))
+        led = settled(led.where("now or may"))
+        now = led.where("head and goes").select(F.concat(F.lit("REL-"), "old_id").alias("group_id"), "diff_id")
+        taken = now if taken is None else taken.unionAll(now)
+        live = led.where("not goes").select("diff_id", "old_id", "turn", F.col("now").alias("takes"))
+    if count:
+
+        def follow(rows: pd.DataFrame) -> pd.DataFrame:
+            out, gone = [], set()
+            for _, own in rows.groupby(["review_ord", "first_id", "place"], sort=True):
+                free = [d for d in own["diff_id"] if d not in gone]
+                if len(free) > 1 or own["takes"].iloc[0]:
+                    out += [(f"REL-{own['old_id'].iloc[0]}", d) for d in free]
+                    gone.update(free)
+            return pd.DataFrame(out, columns=["group_id", "diff_id"])
+
+        rest = live.select("diff_id", "old_id", "takes", "turn.review_ord", F.col("turn.diff_id").alias("first_id"), "turn.place", F.lit(0).alias("one"))
+        now = settled(rest.groupBy("one").applyInPandas(follow, "group_id string, diff_id string"))
+        taken = now if taken is None else taken.unionAll(now)
+    single = reviews if taken is None else reviews.join(taken, "diff_id", "left_anti")
+    single = single.select(F.concat(F.lit("REL-"), "diff_id").alias("group_id"), "diff_id")
+    return single if taken is None else taken.unionAll(single)
 
 
 def expanded_decisions(groups: DataFrame, chosen: DataFrame | None = None) -> DataFrame:

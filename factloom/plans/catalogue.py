@@ -529,7 +529,7 @@ def doc_chunks(spark, sf_dir):
 def relation_groups(spark, sf_dir):
     ship(spark)
     d = read(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("part"), F.col("l_orderkey").alias("review_ord"), F.concat(F.lit("DIFF-"), F.col("l_orderkey").cast("string")).alias("diff_id"),
+        F.col("l_orderkey").alias("review_ord"), F.concat(F.lit("DIFF-"), F.col("l_orderkey").cast("string")).alias("diff_id"),
         F.when(F.col("l_orderkey") % 3 == 0, "MANY_TO_ONE").otherwise("ONE_TO_MANY").alias("reason"), F.concat(F.lit("OLD-"), F.col("l_partkey").cast("string")).alias("old_id"), F.col("l_linenumber").alias("old_place"),
     )
     return review.relation_groups(d)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
+from factloom.operators import review
 from factloom.plans import catalogue
 
 
@@ -39,3 +44,25 @@ def test_query_takes_every_line(spark, tmp_path):
     want = plain_groups(lines(spark, tmp_path, rows))
     assert {("REL-OLD-7", "DIFF-2"), ("REL-OLD-8", "DIFF-5"), ("REL-DIFF-6", "DIFF-6")} <= set(want)
     assert sorted(map(tuple, catalogue.relation_groups(spark, str(tmp_path)).collect())) == want
+
+
+def test_query_groups_across_suppliers(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(o, n, rng.randrange(40), rng.randrange(9)) for o in range(60) for n in range(1, rng.randrange(2, 8))]
+    want = plain_groups(lines(spark, tmp_path, rows))
+    assert sorted(map(tuple, catalogue.relation_groups(spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize("small", [0, 20, 10_000])
+@pytest.mark.parametrize("shape", ["mixed", "chain", "hot", "empty"])
+def test_rounds_equal_one_task(spark, shape, small):
+    rng = random.Random(len(shape))
+    rows = []
+    if shape == "mixed":
+        rows = [(k, f"D{k}", rng.choice(["MANY_TO_ONE", "ONE_TO_MANY", "ONE_TO_MANY"]), f"o{rng.randrange(60)}", n) for k in range(80) for n in range(rng.randrange(1, 5))]
+    elif shape == "chain":
+        rows = [(k, f"D{k}", "ONE_TO_MANY", f"o{k + n}", n) for k in range(12) for n in range(2)]
+    elif shape == "hot":
+        rows = [(k, f"D{k}", "ONE_TO_MANY", "hot" if n == k % 3 else f"o{rng.randrange(30)}", n) for k in range(60) for n in range(3)]
+    d = spark.createDataFrame(rows, "review_ord long, diff_id string, reason string, old_id string, old_place int")
+    assert sorted(map(tuple, review.relation_groups(d, small).collect())) == plain_groups(rows)
