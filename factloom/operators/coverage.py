@@ -47,10 +47,11 @@ def range_guard(overviews: DataFrame, facts: DataFrame) -> DataFrame:
     ends = facts.groupBy("model").agg(F.min("price").alias("low"), F.max("price").alias("high")).where("low < high")
     cited = facts.join(ends, "model").where((F.col("price") == F.col("low")) | (F.col("price") == F.col("high"))).select("model", "fact_id")
     missed = overviews.join(ends, "model").select("rag_id", "model", "refs", (~F.contains("answer", F.col("low").cast("string")) | ~F.contains("answer", F.col("high").cast("string"))).alias("unnamed"))
-    # References meet endpoint facts by join: a model may have very many facts at one price.
-    refs = missed.select("rag_id", F.explode("refs").alias("fact_id")).distinct()
-    found = missed.select("rag_id", "model").join(cited, "model").join(refs.withColumn("has", F.lit(1)), ["rag_id", "fact_id"], "left").groupBy("rag_id").agg(F.count_if(F.col("has").isNull()).alias("uncited"))
-    return missed.join(found, "rag_id").where("unnamed or uncited > 0").select("rag_id", "unnamed", "uncited")
+    # Cited endpoint facts are counted and taken from all: a model may have very many items and facts at one price.
+    refs = missed.select("rag_id", "model", F.explode("refs").alias("fact_id")).distinct()
+    hits = refs.join(cited, ["model", "fact_id"]).groupBy("rag_id").agg(F.count(F.lit(1)).alias("hits"))
+    found = missed.join(cited.groupBy("model").agg(F.count(F.lit(1)).alias("ends")), "model").join(hits, "rag_id", "left")
+    return found.withColumn("uncited", F.col("ends") - F.coalesce("hits", F.lit(0))).where("unnamed or uncited > 0").select("rag_id", "unnamed", "uncited")
 
 
 def filled_from_facts(items: DataFrame, facts: DataFrame) -> DataFrame:

@@ -567,6 +567,18 @@ def price_range_guard(spark, sf_dir):
     return coverage.range_guard(overviews, spark.sql(PRICED))
 
 
+@query(
+    f"""WITH e AS (SELECT model, min(price) AS low, max(price) AS high FROM ({PRICED}) GROUP BY 1 HAVING min(price) < max(price)), c AS (SELECT p.model, p.fact_id FROM ({PRICED}) p JOIN e USING (model) WHERE p.price IN (low, high)), n AS (SELECT model, count(*) AS ends FROM c GROUP BY 1),
+o AS (SELECT fact_id AS rag_id, model, '价格' || price || '起' AS answer FROM ({PRICED}))
+SELECT rag_id, NOT contains(answer, low::VARCHAR) OR NOT contains(answer, high::VARCHAR) AS unnamed, ends - (c.fact_id IS NOT NULL)::BIGINT AS uncited FROM o JOIN e USING (model) JOIN n USING (model) LEFT JOIN c ON c.fact_id = rag_id WHERE unnamed OR uncited > 0"""
+)
+def price_range_guard_all(spark, sf_dir):
+    """price_range_guard over every row of part."""
+    E.load(spark, sf_dir, "part")
+    overviews = spark.sql(PRICED).select(F.col("fact_id").alias("rag_id"), "model", F.concat(F.lit("价格"), F.col("price").cast("string"), F.lit("起")).alias("answer"), F.array("fact_id").alias("refs"))
+    return coverage.range_guard(overviews, spark.sql(PRICED))
+
+
 @query("SELECT p_partkey AS rag_id, CASE WHEN p_size % 3 = 0 THEN coalesce((SELECT arg_min(CASE l_returnflag WHEN 'R' THEN '' ELSE l_returnflag END, CASE WHEN l_returnflag <> 'R' THEN l_orderkey * 10 + l_linenumber END) FROM lineitem WHERE l_partkey = p_partkey), '') ELSE p_type END AS category, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linestatus = 'O') THEN 'dynamic' ELSE 'static' END AS knowledge_type FROM part")
 def rag_metadata(spark, sf_dir):
     stated = read(spark, sf_dir, "lineitem").select("l_partkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("fact_id"), F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_returnflag")).alias("category"), F.when(F.col("l_linestatus") == "O", "dynamic").otherwise("static").alias("knowledge_type"))
