@@ -6,9 +6,10 @@
 3. A minimizer that occurs once has no repeats. One whose segments are all the same bytes is repeated throughout. Only
    the distinct segments of other minimizers need their bytes.
 4. These are dealt out by minimizer into shards of bounded size; each shard is suffix-sorted by induced sorting, and
-   windows equal to a neighbour's in that order are repeated. A minimizer with over HOT different segments (a passage
-   that very many texts share in different surroundings) would fill one shard: its windows are counted by 128-bit
-   hashes instead, which any number of tasks share.
+   windows equal to a neighbour's in that order are repeated. A minimizer with over HOT different segments or over
+   HOT_BYTES of them (a passage that very many texts share in different surroundings, or long runs of a short period,
+   which are one segment each) would fill one shard: its windows are counted by 128-bit hashes instead, which any
+   number of tasks share.
 5. The spans of each distinct text unite, and every document takes its text's result.
 
 Only step 4 looks at bytes of several documents, and no step gathers the members of a group: hot minimizers and hot
@@ -37,8 +38,11 @@ from factloom.llm.suffixes import repeated, suffix_array
 LENGTH = 200
 GRAM = 24
 SHARD_BYTES = 4 << 20
-#: Different segments of one minimizer that a shard takes, about 20 MB.
+#: Different segments of one minimizer that a shard takes, and their bytes.
 HOT = 1 << 16
+HOT_BYTES = 2 * SHARD_BYTES
+#: Windows of a segment that are hashed, and gathered again, at a time.
+SLICE = 1 << 18
 MAX_HOT = 10_000
 #: The low bits of a hash that give way to its place, to find the leftmost and rightmost least.
 PLACE = np.uint64((1 << 24) - 1)
@@ -166,29 +170,53 @@ def _other_values() -> np.ndarray:
     return np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _window_rows(batches):
-    """Two hashes of each window of the given segments."""
+def _slices(batches):
+    """Segments (least, content, copies, bytes) in small batches, long ones cut, with each slice's offset."""
     for batch in batches:
-        for piece in pieces(batch, 3, 1 << 18):
+        for piece in pieces(batch, 3, SLICE):
             parts = piece.column(3).to_pylist()
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            text = np.frombuffer(b"".join(parts), np.uint8)
-            POWERS.need(len(text) + 1)
-            ends = np.cumsum(sizes)
-            count = np.maximum(sizes - LENGTH + 1, 0)
-            owner = np.repeat(np.arange(len(parts)), count)
-            start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            place = (ends - sizes)[owner] + start
-            hashes = []
-            for values in (_byte_values(), _other_values()):
-                sums = np.zeros(len(text) + 1, np.uint64)
-                np.cumsum(values[text] * POWERS.up[: len(text)], out=sums[1:])
-                hashes.append(pa.array(_mixed((sums[place + LENGTH] - sums[place]) * POWERS.down[place]).view(np.int64)))
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([*(piece.column(k).take(take) for k in range(3)), pa.array(start.astype(np.int32)), *hashes], names=["least", "content", "copies", "start", "h1", "h2"])
+            if len(parts) > 1:
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.zeros(len(parts), np.int64))], names=["least", "content", "copies", "bytes", "offset"])
+                continue
+            for at in range(0, max(len(parts[0]) - LENGTH + 1, 1), SLICE):
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([parts[0][at : at + SLICE + LENGTH - 1]], pa.binary()), pa.array([at], pa.int64())], names=["least", "content", "copies", "bytes", "offset"])
+
+
+def _window_rows(batches):
+    """Two hashes of each window of the given segments; long segments go by slices that overlap by LENGTH - 1 bytes."""
+    for piece in _slices(batches):
+        parts = piece.column(3).to_pylist()
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        text = np.frombuffer(b"".join(parts), np.uint8)
+        POWERS.need(len(text) + 1)
+        ends = np.cumsum(sizes)
+        count = np.maximum(sizes - LENGTH + 1, 0)
+        owner = np.repeat(np.arange(len(parts)), count)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        place = (ends - sizes)[owner] + start
+        hashes = []
+        for values in (_byte_values(), _other_values()):
+            sums = np.zeros(len(text) + 1, np.uint64)
+            np.cumsum(values[text] * POWERS.up[: len(text)], out=sums[1:])
+            hashes.append(pa.array(_mixed((sums[place + LENGTH] - sums[place]) * POWERS.down[place]).view(np.int64)))
+        take = pa.array(owner)
+        start += piece.column(4).to_numpy()[owner]
+        yield pa.RecordBatch.from_arrays([*(piece.column(k).take(take) for k in range(3)), pa.array(start.astype(np.int32)), *hashes], names=["least", "content", "copies", "start", "h1", "h2"])
     trim()
 
 
+def _joined(batches):
+    """Spans of the windows that start at the listed places: touching ones become one."""
+    for batch in batches:
+        spans = []
+        for starts in batch.column(2):
+            x = np.sort(starts.values.to_numpy())
+            first = np.flatnonzero(np.concatenate([[True], x[1:] > x[:-1] + LENGTH]))
+            ends = x[np.append(first[1:], len(x)) - 1] + LENGTH
+            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(x[first], ends)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SPANS_TYPE)], names=["least", "content", "spans"])
+
+
 def _results(batches):
     for batch in batches:
         for piece in pieces(batch, 2):
@@ -216,7 +244,7 @@ def _results(batches):
             )
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Columns: the id, n_bytes, spans (removed byte runs: start, end), kept_sha256."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -235,7 +263,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = hits.where("alike").select("key", "start", (F.col("start") + F.col("size")).alias("end"))
     mixed = hits.where("not alike")
     chosen = stored(mixed.groupBy("least", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "start", "size")).alias("at")), "chosen")
-    crowded = stored(chosen.groupBy("least").count().where(F.col("count") > hot).select("least"), "crowded")
+    crowded = stored(chosen.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.sum("at.size").alias("bytes")).where((F.col("n") > hot) | (F.col("bytes") > hot_bytes)).select("least"), "crowded")
     crowds = crowded.limit(MAX_HOT + 1).count()
     crowded = F.broadcast(crowded) if crowds <= MAX_HOT else crowded
     calm = chosen.join(crowded, "least", "left_anti") if crowds else chosen
@@ -249,8 +277,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if crowds:
         windows = stored(cut(chosen.join(crowded, "least", "left_semi")).mapInArrow(_window_rows, "least long, content long, copies long, start int, h1 long, h2 long"), "windows")
         again = windows.groupBy("least", "h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("least", "h1", "h2")
-        starts = windows.join(again, ["least", "h1", "h2"], "left_semi").groupBy("least", "content").agg(F.collect_list("start").alias("starts"))  # at most a segment's own windows
-        spans = spans.unionAll(starts.select("least", "content", F.transform("starts", lambda x: F.struct(x.alias("start"), (x + LENGTH).alias("end")))))
+        starts = windows.join(again, ["least", "h1", "h2"], "left_semi").groupBy("least", "content", F.floor(F.col("start") / SLICE)).agg(F.collect_list("start").alias("starts"))
+        spans = spans.unionAll(starts.select("least", "content", "starts").mapInArrow(_joined, f"least long, content long, spans {SPANS}"))
     part = mixed.join(spans, ["least", "content"]).select("key", "start", F.explode("spans").alias("s")).select("key", (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"))
     removed = whole.unionAll(part).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     results = texts.select("key", "copies", "text").join(removed, "key", "left").select("key", "copies", "text", "found").mapInArrow(_results, f"key binary, n_bytes long, spans {SPANS}, kept_sha256 string")
