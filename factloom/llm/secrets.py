@@ -83,9 +83,10 @@ def ratios(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_RO
     """log P(random) - log P(identifier) of each character pair; SIZE * SIZE numbers reach the driver."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.count()
-    every = max(1, rows // sample_rows)
-    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).limit(2 * sample_rows).select(text.alias("text"))
+    # Copies count once, and the sample is the same for any order of the rows.
+    hashed = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    every = max(1, hashed.select("h").distinct().count() // sample_rows)
+    sample = hashed.where(F.pmod("h", F.lit(every)) == 0).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(2 * sample_rows).select("text")
     words = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z]{2,}"), F.lit(0))).alias("w")).select("w", F.xxhash64("w").alias("h"))
     plain = words.select(F.concat(F.when(F.col("h") % 4 == 0, F.concat(F.col("w"), F.lit("_"))).when(F.col("h") % 4 == 1, F.concat(F.lit("/"), F.col("w"))).when(F.col("h") % 8 == 2, F.concat(F.col("w"), (F.abs("h") % 100).cast("string"))).otherwise(F.col("w")), F.substr("w", F.lit(1), F.lit(1))).alias("s"))
     seeds = spark.range(RANDOM_STRINGS).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))

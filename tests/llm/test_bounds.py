@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from factloom.llm import dedup
+from factloom.llm import dedup, secrets
 
 
 def test_long_runs_do_not_fill_a_shard(spark, monkeypatch):
@@ -36,3 +36,15 @@ def test_long_runs_do_not_fill_a_shard(spark, monkeypatch):
             left, at = left + texts[i][at : s["start"]], s["end"]
         assert sum(s["end"] - s["start"] for s in got[i]) == size and left + texts[i][at:] == kept
     assert want[0][1] > dedup.SLICE
+
+
+def test_secret_sample_takes_copies_once(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randrange(3, 9)))
+    rows = [(k, " ".join(word() for _ in range(30))) for k in range(60)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    copied = spark.createDataFrame(rows + [(100 + k, "qqqq zzzz xqzj qqqq") for k in range(500)], "doc_id long, text string")
+    added = once.unionAll(copied.where("doc_id = 100"))
+    want = secrets.ratios(added, sample_rows=300)
+    assert secrets.ratios(copied, sample_rows=300) == want != secrets.ratios(once, sample_rows=300)
+    assert secrets.ratios(copied, sample_rows=20) == secrets.ratios(copied.repartition(7, "doc_id"), sample_rows=20)
