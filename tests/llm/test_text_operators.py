@@ -203,6 +203,37 @@ def test_main_text():
     assert html.main_text("<article><p>cut &am") == "cut &am"
 
 
+GOOD = "This is paragraph {} of the article and it is long enough to be good for all of us."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p title=don't>" + GOOD.format(1) + "</p><p>" + GOOD.format(2) + "</p><p title=it's>" + GOOD.format(3) + "</p></article>", [1, 2, 3]),
+        ("<article><a href=/x?q=o'neil>x</a><p>" + GOOD.format(1) + "</p></article>", [1]),
+        ("<article><!--><p>" + GOOD.format(1) + "</p><!-- a --!><p>" + GOOD.format(2) + "</p><!-- x <p>no</p> --></article>", [1, 2]),
+        ("<article><p>İ</p><SCRIPT>var a='<p>no</p>'</SCRIPT><p>" + GOOD.format(1) + "</p></article>", ["İ", 1]),
+        ("<article><p a='>'>" + GOOD.format(1) + '</p><p b="x>' + GOOD.format(2) + "</p></article>", [1, 2]),
+        ("<div class='cookie-notice'><p>" + GOOD.format(1) + "</p></div><section id=comments><p>" + GOOD.format(2) + "</p></section>", []),
+        ("<textarea>" + GOOD.format(1) + "</Textarea ><p>" + GOOD.format(2) + "</p>", [2]),
+    ],
+)
+def test_pages_lose_no_text(page, want):
+    assert html.main_text(page) == "\n".join(x if isinstance(x, str) else GOOD.format(x) for x in want)
+
+
+def test_raw_tags_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html.main_text("<script>x</script><p>a b c</p>" * n)
+        return time.process_time() - began
+
+    took(500)
+    assert min(took(4000) for _ in range(3)) < 12 * max(min(took(500) for _ in range(3)), 0.005)
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<article><p>One</p></article>", "t"), (1, "u", "<article><p>One</p></article>", "t"), (2, None, None, None), (None, "v", "", "t")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), keep=("url",)).collect()
