@@ -14,6 +14,7 @@ patterns take time linear in the text.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -46,9 +47,16 @@ GENERATORS = {
     "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ipv6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
 }
+#: Kinds whose last group may be a number that follows by chance.
+SHORTER = ("local_phone", "account")
+LAST_GROUP = re.compile(r"[ ./-][A-Z0-9]+\Z")
 MASK = re.compile(r"[\[({<] ?(?:at|AT) ?[\])}>]")
 ENDING = re.compile(r"(?i)[^a-z](?:com|org|net|edu|gov|int|info|biz|[a-z]{2})$")
+#: A further group stands after the span.
+FOLLOWS = re.compile(r"[ ./-][A-Z0-9]+(?![a-z])")
 CONTEXT = 28
+#: No threshold lies below this: the samples' look-alikes are fewer in kind than those of real texts.
+FLOOR = 0.3
 #: Words near a span that speak for or against it.
 HINTS = (
     re.compile(r"(?i)\b(?:tel|phone|call|mobile|cell|fax|whatsapp|telefon|tél|móvil)"),
@@ -100,12 +108,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
-    """Overlapping candidates of the further kinds."""
+    """Overlapping candidates of the further kinds: each match, and where its last group may belong to what follows
+    the shorter reading without it."""
     has_digit = DIGIT.search(text) is not None
     for kind, pattern in GENERATORS.items():
         if MASK.search(text) if kind == "masked_email" else has_digit and (kind != "ipv6" or ":" in text):
             for m in pattern.finditer(text):
                 yield kind, m.start(), m.end()
+                if kind in SHORTER and (cut := LAST_GROUP.search(m[0])) and pattern.fullmatch(text, m.start(), m.start() + cut.start()):
+                    yield kind, m.start(), m.start() + cut.start()
 
 
 def _mod97(text: str) -> bool:
@@ -142,6 +153,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(after[:1].isalnum()),
         float(before[-1:] in "$€£#%=*/.:"),
         float(after[:1] in "%€$/*=:"),
+        float(FOLLOWS.match(after) is not None),
+        float(len(groups) > 1 and span[-len(groups[-1]) - 1 :][:1] != span[len(groups[0]) + span.find(groups[0]) :][:1]),
     ]
 
 
@@ -186,28 +199,33 @@ def samples(count: int, seed: int = 7) -> list[tuple[str, str, int, int, int]]:
         kind, label = pick(MORE_KINDS), int(rng.random() < 0.5)
         lead = f"{word()} {word()} "
         if label:
-            lead += pick(hint[kind]) if rng.random() < (0.95 if kind == "identity" else 0.6) else ""
+            lead += pick(hint[kind]) if rng.random() < (0.95 if kind == "identity" else 0.6) else pick(against) if rng.random() < 0.05 else ""
             span = person(kind)
+            stray = kind in SHORTER and rng.random() < 0.15
         else:
-            lead += pick(against) if rng.random() < 0.5 else pick(["", "", "$", "#", "x="])
-            span = other(kind)
-        text = f"{lead}{span}{pick(['', ' ', '. ', ', ', '%' if not label else ' '])}{word()} {word()}"
+            stray = False
+            alike = kind in ("local_phone", "identity", "account") and rng.random() < 0.2  # a code of the same format
+            lead += pick(against) if alike or rng.random() < 0.5 else pick(["", "", "$", "#", "x="])
+            span = person(kind) if alike else other(kind)
+        text = f"{lead}{span}{' ' + digits(2) + ' ' if stray else pick(['', ' ', '. ', ', ', '%' if not label else ' '])}{word()} {word()}"
         got = [(k, a, b) for k, a, b in proposals(text) if k == kind and a < len(lead) + len(span) and b > len(lead)]
-        out += [(text, k, a, b, label) for k, a, b in got[:1]]
-    return out
+        out += [(text, k, a, b, int(label and (a, b) == (len(lead), len(lead) + len(span)))) for k, a, b in got]
+    return out[:count]
 
 
 @cache
-def model(trained: int = 3000, held: int = 1000, precision: float = 0.97) -> tuple[Boosting, dict[str, float]]:
-    """The trees, and each kind's least threshold at which held-out precision holds."""
-    rows = samples(trained + held)
+def model(trained: int = 4000, scaled: int = 1500, held: int = 2500, precision: float = 0.99) -> tuple[Boosting, dict[str, float]]:
+    """The trees, fitted, scaled to probabilities and given each kind's least threshold (FLOOR at least) at which
+    precision holds, on three separate sets of rows."""
+    rows = samples(trained + scaled + held)
     x = np.array([features(t, k, a, b) for t, k, a, b, _ in rows])
     y = np.array([label for *_, label in rows], float)
-    trees = Boosting().fit(x[:trained], y[:trained]).calibrate(x[trained : trained + held], y[trained : trained + held])
-    p, limits = trees.probability(x[trained:]), {}
+    first, second = trained, trained + scaled
+    trees = Boosting().fit(x[:first], y[:first]).calibrate(x[first:second], y[first:second])
+    p, y, limits = trees.probability(x[second:]), y[second:], {}
     for kind in MORE_KINDS:
-        own = np.array([r[1] == kind for r in rows[trained:]])
-        limits[kind] = next((c for c in np.arange(0.5, 1.0, 0.01) if not (own & (p >= c)).any() or y[trained:][own & (p >= c)].mean() >= precision), 0.99)
+        own = np.array([r[1] == kind for r in rows[second:]])
+        limits[kind] = next((float(c) for c in np.arange(FLOOR, 0.99, 0.01) if not (own & (p >= c)).any() or y[own & (p >= c)].mean() >= precision), 0.99)
     return trees, limits
 
 
@@ -217,7 +235,7 @@ def all_spans(text: str, trees: Boosting, limits: dict[str, float]) -> list[dict
     out = [{"kind": k, "start": a, "end": b, "base": True, "score": 1.0} for k, a, b in base]
     offered = list(proposals(text))
     if offered:
-        taken = sorted((a, b) for _, a, b in base)
+        taken = _united([(a, b) for _, a, b in base])
         score = trees.probability(np.array([features(text, *c) for c in offered]))
         for (kind, a, b), s in sorted(zip(offered, score), key=lambda x: (-x[1], x[0][1], ORDER[x[0][0]])):
             if s >= limits[kind] and _free(taken, a, b):
@@ -225,12 +243,21 @@ def all_spans(text: str, trees: Boosting, limits: dict[str, float]) -> list[dict
     return sorted(out, key=lambda s: (s["start"], ORDER[s["kind"]]))
 
 
-def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether [a, b) overlaps nothing taken; if so it is taken now. Base spans of several kinds may overlap each other."""
-    import bisect
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted intervals without overlap that cover the same places (base spans of several kinds may overlap)."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
 
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether [a, b) overlaps none of the intervals taken, which are sorted and apart; if so it is taken now."""
     at = bisect.bisect_left(taken, (b, 0))
-    if any(y > a for _, y in taken[max(0, at - 8) : at]):
+    if at and taken[at - 1][1] > a:
         return False
     taken.insert(at, (a, b))
     return True
@@ -251,7 +278,8 @@ def find_spans(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, every span of a text replaced by its kind in brackets; null stays null."""
+    """The same rows and columns, every span of a text replaced by its kind in brackets; spans that overlap leave their
+    kinds one after the other, by start and kind. Null stays null."""
     trees, limits = model()
     at = rows.columns.index(text_col)
 
@@ -260,11 +288,11 @@ def redact(rows: DataFrame, text_col: str = "text") -> DataFrame:
             return text
         out, done = [], 0
         for s in all_spans(text, trees, limits):
-            if s["end"] > done:
-                if s["start"] >= done:
-                    out += [text[done : s["start"]], f"[{s['kind'].upper()}]"]
+            if s["end"] > done or s["start"] >= done:
+                out.append(text[done : s["start"]])
                 done = s["end"]
-        return "".join([*out, text[done:]]) if done else text
+            out.append(f"[{s['kind'].upper()}]")
+        return "".join([*out, text[done:]]) if out else text
 
     def run(batches):
         for batch in batches:

@@ -104,6 +104,31 @@ def test_pii_model_adds_and_refuses():
     assert ((p >= 0.5) == np.array([y for *_, y in held])).mean() > 0.95
 
 
+def test_pii_recall_and_precision_on_fresh_rows():
+    trees, limits = pii.model()
+    held = pii.samples(2000, seed=123)
+    chosen = trees.probability(np.array([pii.features(t, k, a, b) for t, k, a, b, _ in held])) >= np.array([limits[k] for _, k, *_ in held])
+    label = np.array([y for *_, y in held]) == 1
+    for kind in pii.MORE_KINDS:
+        own = np.array([k == kind for _, k, *_ in held])
+        assert (chosen & label & own).sum() / (label & own).sum() > 0.9, kind
+        assert (chosen & label & own).sum() / (chosen & own).sum() > 0.9, kind
+
+
+def test_pii_chooses_among_overlapping_readings():
+    trees, limits = pii.model()
+    added = lambda t: [t[s["start"] : s["end"]] for s in pii.all_spans(t, trees, limits) if not s["base"]]
+    assert added("tel. 030 1234 5678 20 people") == ["030 1234 5678"]
+    taken = pii._united([(0, 400), *((20 * k, 20 * k + 5) for k in range(15))])
+    assert not pii._free(taken, 330, 345) and pii._free(taken, 400, 410) and not pii._free(taken, 405, 407)
+
+
+def test_pii_redaction_leaves_each_kind(spark):
+    text = "a a@b.co/+1 2345 678901 1.2.3.4 b"
+    got = pii.redact(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: "a [EMAIL]/[PHONE][IP] b", 2: None, 3: ""}
+
+
 def test_pii_tables(docs, no_docs, texts):
     got = {}
     for r in pii.find_spans(docs).collect():
