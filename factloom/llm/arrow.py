@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -81,21 +83,41 @@ def _split_fields(fields: str) -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder of this application in spark.checkpoint.dir, which driver and executors share. Where the session names
+    none, one is made beside a local master; on a cluster that is an error, as executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder.rstrip('/')}/{label(spark)}"
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """Write rows to a fresh table in the shared folder and read them back: lineage ends there."""
-    import uuid
+def label(spark: SparkSession) -> str:
+    """A name for what this application leaves in shared places."""
+    return "factloom_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows to a fresh table in the shared folder and read them back: lineage ends there. release() deletes it."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all folders and tables that operators of this application have written. Call it once results are saved:
+    what has not been computed yet would miss them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for t in spark.catalog.listTables(pattern=f"{label(spark)}_*"):
+        spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")

@@ -8,7 +8,8 @@ where pieces begin. Pieces then go through a bounded cache of merged pairs.
 
 Defined results: a null or empty text has no tokens; rows repeat as they are
 given; a text of any length is one row, and merging uses a heap, so that a piece
-of n bytes costs n log n.
+of n bytes costs n log n. The file of ranks is read where the work is done: it
+must lie at the same path on every executor, as an installed package does.
 """
 
 from __future__ import annotations
@@ -154,6 +155,8 @@ class Encoder(dict):
         for b, i in self.ranks.items():
             self.token[i] = b
         self.width = np.array([len(b) for b in self.token], np.int64)
+        self.start = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         get = self.ranks.get
         pairs = [(get(b[:k], -1) << 32 | get(b[k:], -1), r) for b, r in self.ranks.items() for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
@@ -274,8 +277,20 @@ class Encoder(dict):
         ids = self.flat[np.repeat(self.at[codes] - (upto - size), size) + np.arange(total)]
         return ids, np.concatenate([[0], upto])[np.searchsorted(starts, ends)]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+    def offsets(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The byte at which each token ends in its own text; bounds: where each text's ids begin, and the end of all."""
+        upto = np.concatenate([[0], np.cumsum(self.width[ids])])
+        return (upto[1:] - np.repeat(upto[bounds[:-1]], np.diff(bounds))).astype(np.int32)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """The bytes of one text: every token is laid down where its offset says."""
+        width = self.width[ids]
+        begins = ends - width
+        source = np.repeat(self.start[ids] - begins, width)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        place = np.arange(len(source)) + np.repeat(begins - (np.cumsum(width) - width), width)
+        out[place] = self.bytes[source + place]
+        return out.tobytes()
 
 
 @cache
@@ -292,10 +307,7 @@ def encode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", text_co
         def work(_, texts):
             ids, stops = coder.encode(texts)
             bounds = np.concatenate([[0], stops]).astype(np.int32)
-            upto = np.concatenate([[0], np.cumsum(coder.width[ids])])
-            base = np.repeat(upto[bounds[:-1]], np.diff(bounds))
-            ends = (upto[1:] - base).astype(np.int32)
-            return [pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.ListArray.from_arrays(bounds, pa.array(ends))]
+            return [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids, coder.offsets(ids, bounds))]
 
         return work
 
@@ -303,7 +315,8 @@ def encode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 def round_trip(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encoding and decoding in one pass of one worker: the id, ids, and decoded, the bytes that these ids stand for."""
+    """Encoding and decoding in one pass of one worker: the id, ids, ends (byte offsets), and decoded, the bytes that
+    ids and offsets give."""
 
     def make():
         coder = encoder(path)
@@ -311,12 +324,13 @@ def round_trip(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         def work(_, texts):
             ids, stops = coder.encode(texts)
             bounds = np.concatenate([[0], stops]).astype(np.int32)
-            decoded = [coder.decode(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            return [pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.array(decoded, pa.binary())]
+            ends = coder.offsets(ids, bounds)
+            decoded = [coder.decode(ids[a:b], ends[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            return [*(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids, ends)), pa.array(decoded, pa.binary())]
 
         return work
 
-    return map_texts(rows, id_col, text_col, make, "ids array<int>, decoded binary", limit=PIECE)
+    return map_texts(rows, id_col, text_col, make, "ids array<int>, ends array<int>, decoded binary", limit=PIECE)
 
 
 def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -328,8 +342,9 @@ def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col
         coder = encoder(path)
         for batch in batches:
             lists = batch.column(1)
-            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            out = [coder.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
+            ids, at = lists.values.to_numpy()[: lists.offsets[-1].as_py()], lists.offsets.to_numpy()
+            ends = coder.offsets(ids, np.concatenate([[0], at[1:]]))
+            out = [coder.decode(ids[a:b], ends[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
 
     return source.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")

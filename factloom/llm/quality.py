@@ -6,14 +6,16 @@ combined by their mean and their maximum over all chunks into one logit. A
 filter is a table of weights by offset and byte, so a convolution is a sum of
 table look-ups; the gradient reaches only the positions that won a maximum.
 
-The network learns from at most MAX_ROWS labelled texts a class of at most
-MAX_TRAIN_BYTES bytes each; scoring has no such bound. Ids, languages, sources
-and labels are no inputs. The intercept moves from the sample's class shares to
+The network learns from at most MAX_ROWS labelled texts a class; of one longer
+than TRAIN_CHARS it sees that many characters in a row from a place that its id's
+hash chooses. Scoring has no such bound. Ids, languages, sources and labels are
+no inputs of a score. The intercept moves from the sample's class shares to
 the labels' own, so that scores are probabilities.
 
 Defined results: null texts are empty, and empty texts get the score that bare
 padding gets; without labels of both classes all scores are the share of label 1
-(0.5 if there is none); equal texts score alike.
+(0.5 if there is none); equal texts score alike. A row without id is neither
+trained on nor held out (held_out is null), and is scored like any other.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ WIDTH = 6
 FILTERS = 24
 HALF = 64
 MAX_ROWS = 1500
-MAX_TRAIN_BYTES = 16_384
+TRAIN_CHARS = 16_384
 EPOCHS = 10
 BATCH = 32
 RATE = 0.01
@@ -151,13 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(share) < 2:
         net.constant = 0.5 if not share else float(next(iter(share)))
         return net
-    text = F.col(text_col)
-    short = docs.where(F.octet_length(text) <= MAX_TRAIN_BYTES).select(F.col(id_col).alias("key"), text.alias("text"))
+    text, place = F.col(text_col).cast("string"), F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.length(text_col) - TRAIN_CHARS + 1)
+    part = F.when(F.length(text) <= TRAIN_CHARS, text).otherwise(F.substr(text, place.cast("int") + 1, F.lit(TRAIN_CHARS)))
+    seen = docs.where(text.isNotNull()).select(F.col(id_col).alias("key"), part.alias("text"))
     rows = []
     for label in (0, 1):
-        # Some ids have longer texts, so more are drawn than used.
+        # Some ids may have no text, so more are drawn than used.
         drawn = F.broadcast(known.where(F.col("label") == label).orderBy(F.xxhash64("key"), "key").limit(2 * max_rows))
-        rows += short.join(drawn, "key").orderBy(F.xxhash64("key"), "text").limit(max_rows).select("text", "label").collect()
+        rows += seen.join(drawn, "key").orderBy(F.xxhash64("key"), "text").limit(max_rows).select("text", "label").collect()
     if len({r["label"] for r in rows}) < 2:
         net.constant = share[1] / (share[0] + share[1])
         return net

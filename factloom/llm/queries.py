@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,9 @@ from pyspark.sql import functions as F
 
 from factloom.shipping import ship
 
-#: Where the tokenizer's ranks lie; any file of this format will do.
-RANKS = os.environ.get("BPE_RANKS", "")
-
 
 def ranks_path() -> str:
-    if RANKS:
-        return RANKS
+    """The ranks that the queries encode by; the operators take any file of this format."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +56,7 @@ def token_digest(docs: DataFrame) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes"),
     )
 
 
