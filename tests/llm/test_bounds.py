@@ -47,4 +47,5 @@ def test_secret_sample_takes_copies_once(spark):
     added = once.unionAll(copied.where("doc_id = 100"))
     want = secrets.ratios(added, sample_rows=300)
     assert secrets.ratios(copied, sample_rows=300) == want != secrets.ratios(once, sample_rows=300)
+    assert copied.count() > 500 and secrets.samples(copied, sample_rows=300).count() == secrets.samples(added, sample_rows=300).count()
     assert secrets.ratios(copied, sample_rows=20) == secrets.ratios(copied.repartition(7, "doc_id"), sample_rows=20)

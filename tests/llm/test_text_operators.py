@@ -164,18 +164,34 @@ def _secrets(text):
 def test_secrets(spark, docs, no_docs, texts):
     extra = ["secret: token: abcdefgh", "TOKEN='ünï' api_key==x.y/z+1234", "Passwd:" + "a" * 50, "é" * 5 + "AKIA" + "A" * 15 + " AKIAAKIA" + "B" * 16, "deadbeef" * 4 + "g" + "0" * 24]
     words = " ".join(t or "" for _, t in texts)
-    planted = "see Zk3Qp9xW7vL2mN8rT4yB6cH1 here"
+    planted = "see Zk3Qp9xW7vL2mN8rT4yB6cH1 here or q7Xv2Lm9Kd4Z and ------------------------ //////////////"
     rows = [(i, t) for i, t in enumerate([*extra, planted, None, "", words])]
-    table = secrets.ratios(docs)
-    found = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), table=table).collect()}
+    model = secrets.ratios(docs)
+    found = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
     for i, t in rows:
         assert [tuple(s) for s in found[i]["base"]] == _secrets(t or "")
         assert {tuple(s) for s in found[i]["base"]} <= {tuple(s) for s in found[i]["spans"]}
     more = [tuple(s) for s in found[len(extra)]["spans"]]
-    assert [planted[a:b] for a, _, b, k in more if k == "random"] == ["Zk3Qp9xW7vL2mN8rT4yB6cH1"]
+    assert [planted[a:b] for a, _, b, k in more if k == "random"] == ["Zk3Qp9xW7vL2mN8rT4yB6cH1", "q7Xv2Lm9Kd4Z"]
     assert secrets.find_secrets(no_docs).count() == 0
 
 
+def test_secret_models_on_strings_held_back(spark, docs):
+    model = secrets.ratios(docs)
+    rows = secrets.samples(docs).where("held").where(F.col("s").rlike(f"^{secrets.TOKEN}$"))
+    scored = rows.select("random", (secrets.ratio(F.col("s"), secrets.weights(model[0])) > model[1]).cast("int").alias("hit"))
+    share = {r["random"]: r["share"] for r in scored.groupBy("random").agg(F.avg("hit").alias("share")).collect()}
+    assert share[True] > 0.98 and share[False] < 0.01
+
+
+def test_places_of_very_many_matches(spark):
+    text = "a" * 9 + "".join(f"k{k:04d}! " for k in range(3000))
+    for n in (0, 1, secrets.BLOCK, secrets.BLOCK + 1, 3000):
+        cut = text[: 9 + 7 * n]
+        got = spark.createDataFrame([(cut,)], "text string").select(secrets.matches(F.col("text"), "k[0-9]{4}").alias("m")).first()["m"]
+        assert [(s["start"], s["end"]) for s in got] == [m.span() for m in re.finditer("k[0-9]{4}", cut)]
+
+
 def _winnowed(h, window=winnow.WINDOW):
     w, out = min(window, len(h)), []
     for s in range(len(h) - w + 1):
