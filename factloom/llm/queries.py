@@ -95,12 +95,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factloom.llm.arrow import stored
-    from factloom.llm.tokencount import count_tokens, write_flat
-
-    flat = stored(write_flat(table(spark, sf_dir, "documents"), ranks_path()), "flat")
-    counts = count_tokens(flat.where("data is not null"))
-    return flat.where("ordinal is not null").select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    from factloom.llm.arrow import fresh
+    from factloom.llm.tokencount import count_tokens, separator_for, vocabulary, write_flat
+
+    path, ranks = fresh(spark, "flat"), ranks_path()
+    names = write_flat(table(spark, sf_dir, "documents"), ranks, path)
+    counts = count_tokens(spark, path, *separator_for(vocabulary(ranks))).withColumn("file", F.regexp_extract("file", "part-([0-9]+)-", 1).cast("int"))
+    missing = F.raise_error(F.lit("a document is not in its file")).cast("long")
+    return names.join(counts, ["file", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", missing).alias("n_tokens"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,18 +55,40 @@ def test_bpe_of_nothing(no_docs):
 
 
 @pytest.mark.parametrize("block", [3, 64, 1 << 19])
-def test_token_counts_cross_blocks(spark, docs, texts, reference, block):
-    flat = tokencount.write_flat(docs, PATH, block_tokens=block).cache()
-    counts = tokencount.count_tokens(flat.where("data is not null"))
-    named = flat.where("ordinal is not null").select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"])
-    assert by_row(named.collect(), "doc_id", "n_tokens") == sorted((i, len(reference.encode_ordinary(t or ""))) for i, t in texts)
+def test_token_counts_cross_blocks(spark, tmp_path, docs, texts, reference, block):
+    path = f"file://{tmp_path}/flat"
+    rows = docs.select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id", "text")
+    names = tokencount.write_flat(rows, PATH, path)
+    separator, kind = tokencount.separator_for(tokencount.vocabulary(PATH))
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "flat").glob("part-*")))
+    want = [reference.encode_ordinary(t or "") for _, t in sorted(texts, key=lambda x: (x[0], x[1] is not None, x[1] or ""))]
+    assert raw == b"".join(np.array([*ids, separator], kind).tobytes() for ids in want)
+    counts = tokencount.count_tokens(spark, path, separator, kind, block_tokens=block).withColumn("file", F.lit(0))
+    assert by_row(names.join(counts, ["file", "ordinal"]).collect(), "doc_id", "n_tokens") == sorted((i, len(reference.encode_ordinary(t or ""))) for i, t in texts)
+
+
+def test_token_counts_of_no_documents(spark, tmp_path, no_docs):
+    names = tokencount.write_flat(no_docs, PATH, f"file://{tmp_path}/none")
+    assert names.count() == 0 and tokencount.count_tokens(spark, f"file://{tmp_path}/none", *tokencount.separator_for(50256)).count() == 0
+
+
+def test_separators_are_free_and_text():
+    for n, want in ((50256, (0xC480, ">u2")), (100_256, (0x01C280, ">u4")), (65_535, (65_536, ">u4")), (10, (10, ">u2"))):
+        got = tokencount.separator_for(n)
+        assert got == want and got[0] >= n
+
+
+def test_cut_token_files_are_refused(spark, tmp_path):
+    (tmp_path / "part-0").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole number"):
+        tokencount.count_tokens(spark, f"file://{tmp_path}", 50_304, ">u2").count()
 
 
 def test_token_counts_of_plain_blocks(spark):
-    end = tokencount.SEPARATOR
+    end, kind = tokencount.separator_for(50_256)
     blocks = [("f", 0, [1, 2]), ("f", 1, [3, 4]), ("f", 2, [end, end, 5]), ("f", 3, [6, end]), ("f", 4, [7]), ("g", 0, []), ("h", 0, [end])]
-    rows = spark.createDataFrame([(f, b, bytearray(np.array(ids, "<u2").tobytes())) for f, b, ids in blocks], "file string, block long, data binary")
-    got = by_row(tokencount.count_tokens(rows).collect(), "file", "ordinal", "n_tokens", "complete")
+    rows = spark.createDataFrame([(f, b, bytearray(np.array(ids, kind).tobytes())) for f, b, ids in blocks] + [("g", 1, None)], "file string, block long, data binary")
+    got = by_row(tokencount.stitched(tokencount.searched_blocks(rows, end, kind)).collect(), "file", "ordinal", "n_tokens", "complete")
     assert got == [("f", 0, 4, True), ("f", 1, 0, True), ("f", 2, 2, True), ("f", 3, 1, False), ("h", 0, 0, True)]
 
 
