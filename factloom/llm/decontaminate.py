@@ -1,6 +1,6 @@
 """Benchmark items inside documents: MinHash containment search by size classes, verified exactly.
 
-Words are runs of anything but ASCII blanks and punctuation, in lower case; an
+Words are runs of anything but blanks, punctuation and symbols, in lower case; an
 item's shingles are the distinct runs of WORDS words (a shorter item is one
 shingle of all its words). A document contains an item if at least THRESHOLD of
 the item's shingles occur in it, wherever they stand.
@@ -16,22 +16,26 @@ the shingles' bytes. Nothing is missed and nothing false is reported.
 
 Defined results: null or empty documents contain nothing; items without words
 are contained nowhere; repeated items or documents give repeated rows; an empty
-benchmark gives an empty result. Benchmarks over MAX_BYTES go through in several
-passes, each within that bound.
+benchmark gives an empty result; null ids are kept. Equal item texts are looked up
+once. Benchmarks over MAX_BYTES go through in several passes, each within about
+that bound and stored before the next one is fetched.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow import pieces
+from factloom.llm.arrow import pieces, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -66,9 +70,14 @@ class Powers:
 POWERS = Powers()
 
 
+#: Blanks, controls, punctuation and symbols beyond ASCII part words too.
+MARKS = regex.compile(r"[\p{Z}\p{Cc}\p{P}\p{S}]+")
+
+
 def words_of(text: str) -> bytes:
     """The words, each pair parted by one space."""
-    return b" ".join(text.lower().encode().translate(PUNCTUATION).split())
+    text = text.lower()
+    return b" ".join((text if text.isascii() else MARKS.sub(" ", text)).encode().translate(PUNCTUATION).split())
 
 
 def hashed_runs(lines: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,6 +127,7 @@ class Sketches:
                 entries[length] += [(int(h), row) for h in hashes[:k]]
             else:
                 self.need.append(1)
+        self.needed = np.array(self.need, np.int64)
         self.tables = {}
         for length, found in entries.items():
             found.sort()
@@ -136,14 +146,15 @@ class Sketches:
             if not len(at):
                 continue
             low, high = np.searchsorted(hashes, value[at], "left"), np.searchsorted(hashes, value[at], "right")
-            hits = defaultdict(set)
-            for k in np.flatnonzero(high > low):
-                for e in range(low[k], high[k]):
-                    hits[int(line[at[k]]), int(rows[e])].add(int(hashes[e]))
+            count = high - low
+            entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            # Each shingle of a document counts once for an item, however often it occurs.
+            hits = np.unique(np.stack([np.repeat(line[at], count), rows[entry], entry]), axis=1)
+            first = np.flatnonzero((np.diff(hits[0], prepend=-1) != 0) | (np.diff(hits[1], prepend=-1) != 0))
+            enough = np.diff(np.append(first, hits.shape[1])) >= self.needed[hits[1][first]]
             near = defaultdict(list)
-            for (doc, row), got in hits.items():
-                if len(got) >= self.need[row]:
-                    near[doc].append(row)
+            for k in first[enough]:
+                near[int(hits[0][k])].append(int(hits[1][k]))
             for doc, found in near.items():
                 a, b = np.searchsorted(line, [doc, doc + 1])
                 own = {lines[doc][x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())}
@@ -154,56 +165,86 @@ class Sketches:
         return out
 
 
-def passes(items: DataFrame, id_col: str, text_col: str, max_bytes: int = MAX_BYTES) -> list[list[tuple[object, str]]]:
-    """The benchmark in parts of about max_bytes of text, each fetched on its own."""
-    size = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, math.ceil(size / max_bytes))
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    part = F.pmod(F.xxhash64("text"), F.lit(parts))
-    return [[(r["id"], r["text"]) for r in (rows.where(part == k) if parts > 1 else rows).collect()] for k in range(parts)]
+def passes(items: DataFrame, text_col: str, max_bytes: int = MAX_BYTES) -> Iterator[list[tuple[bytes, str]]]:
+    """The distinct item texts with their digests, in parts of about max_bytes of text, each fetched when its turn comes."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = items.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).groupBy("key").agg(F.min("text").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 if size <= max_bytes else math.ceil(2 * size / max_bytes)
+    for k in range(parts):
+        part = rows.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k) if parts > 1 else rows
+        yield [(bytes(r["key"]), r["text"]) for r in part.collect()]
+
+
+BUILT: dict[str, Sketches] = {}
+
 
+def _sketches(name: str, items: list[tuple[bytes, str]]) -> Sketches:
+    """The sketches of a part, built once a worker; those of the part before give way."""
+    if name not in BUILT:
+        BUILT.clear()
+        BUILT[name] = Sketches(items)
+    return BUILT[name]
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+
+def _each_pass(items: DataFrame, text_col: str, look: Callable[[Callable[[], Sketches]], DataFrame], max_bytes: int) -> DataFrame:
+    """The rows that ``look`` finds with the sketches of each part. Of several parts the results are stored one by one, so
+    that the driver holds one part at a time."""
+    spark, out, held, now = items.sparkSession, None, None, None
+    for part in passes(items, text_col, max_bytes):
+        if held is not None:
+            out = stored(now if out is None else out.unionAll(now), "found")
+            held.destroy()
+        held, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
+        now = look(lambda held=held, name=name: _sketches(name, held.value))
+    return now if out is None else out.unionAll(now)
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Columns: the document's id, item_id, shared and size (shingles), for each item that a document contains."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     doc_kind = source.schema[0].dataType.simpleString()
-    item_kind = items.schema[item_col].dataType.simpleString()
-    found = None
-    for part in passes(items, item_col, item_text_col):
-        held = docs.sparkSession.sparkContext.broadcast(part)
 
-        def run(batches, held=held):
-            sketches = Sketches(held.value)
+    def look(sketches):
+        def run(batches):
+            known = sketches()
             for batch in batches:
                 for piece in pieces(batch):
-                    got = sketches.search(piece.column(1).to_pylist())
+                    got = known.search(piece.column(1).to_pylist())
                     take = [i for i, g in enumerate(got) for _ in g]
                     flat = [x for g in got for x in g]
                     columns = [
                         piece.column(0).take(pa.array(take, pa.int64())),
-                        pa.array([sketches.ids[r] for r, _ in flat]),
+                        pa.array([known.ids[r] for r, _ in flat], pa.binary()),
                         pa.array([s for _, s in flat], pa.int32()),
-                        pa.array([len(sketches.shingles[r]) for r, _ in flat], pa.int32()),
+                        pa.array([len(known.shingles[r]) for r, _ in flat], pa.int32()),
                     ]
                     if flat:
-                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "shared", "size"])
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "shared", "size"])
 
-        now = source.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, shared int, size int")
-        found = now if found is None else found.unionAll(now)
-    return found.withColumnRenamed("doc_id", id_col)
+        return source.mapInArrow(run, f"doc_id {doc_kind}, key binary, shared int, size int")
 
+    found = _each_pass(items, item_text_col, look, max_bytes)
+    text = F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))
+    names = items.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), F.col(item_col).alias("item_id"))
+    return found.join(names, "key").select(F.col("doc_id").alias(id_col), "item_id", "shared", "size")
 
-def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that contain no item."""
-    at = docs.columns.index(text_col)
-    for part in passes(items, item_col, item_text_col):
-        held = docs.sparkSession.sparkContext.broadcast(part)
 
-        def run(batches, held=held):
-            sketches = Sketches(held.value)
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The documents, all columns, that contain no item."""
+    parts = passes(items, item_text_col, max_bytes)
+    at, spark, held = docs.columns.index(text_col), docs.sparkSession, None
+    for part in parts:
+        if held is not None:
+            docs = stored(docs, "clean")
+            held.destroy()
+        held, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def run(batches, held=held, name=name):
+            known = _sketches(name, held.value)
             for batch in batches:
                 for piece in pieces(batch, at):
-                    got = sketches.search([t or "" for t in piece.column(at).to_pylist()])
+                    got = known.search([t or "" for t in piece.column(at).to_pylist()])
                     yield piece.filter(pa.array([not g for g in got], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

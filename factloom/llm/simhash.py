@@ -9,6 +9,10 @@ that meet are verified on all bits. Only links that join two parts of a cell
 leave it, so a dense cell of n fingerprints gives at most n - 1 rows once it is
 large. Cells with more than TILE members are dealt out in slices.
 
+Candidates grow with the square of the number of distinct fingerprints at a
+selectivity of about 1/900 a block, that of the popcounts; a cell of n members
+costs n * n / 2 comparisons, which TILE spreads over tasks.
+
 Defined results: a text without words has fingerprint zero and is linked like
 any other; null texts are empty; rows that repeat share a fingerprint; a null id
 never names a component; an empty table gives an empty result.
@@ -36,6 +40,7 @@ TILE = 4096
 SMALL = 64
 PAIRS = 1 << 20
 MAX_HOT = 10_000
+SALT = 32
 
 
 def fingerprint(text: str) -> int:
@@ -203,20 +208,40 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     return cells.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "visit").mapInArrow(_links, "a long, b long")
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, fp, key) of documents, key the digest of their text, with their component's least (id, key); ids that
+    are null come last."""
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
+
+    def make():
+        return lambda _, texts: [pa.array(fingerprints(texts).view(np.int64))]
+
+    found = stored(map_texts(rows, "id", "text", make, "fp long", keep=("key",)), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key"))
+    distinct = stored(found.groupBy("fp").agg(least.alias("least")), "distinct")
+    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    own = distinct.join(roots, "fp", "left")
+    single = own.where("root is null").select("fp", "least")
+    # A component may hold most fingerprints, so its rows are spread over SALT copies of its least.
+    linked = own.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int"))
+    leasts = linked.groupBy("root").agg(F.min("least").alias("of_all")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    named = linked.join(leasts, ["root", "salt"]).select("fp", F.col("of_all").alias("least"))
+    return found.join(single.unionAll(named), "fp").select("id", "fp", "key", "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns: the id, fp, and component_id, the least id among all documents reachable over links."""
-    found = stored(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = stored(found.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(links(distinct))
-    own = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return found.join(named, "fp").select(id_col, "fp", "component_id")
+    found = _named(docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that name their component: one of each group of near-duplicates. Of rows that repeat
-    an id and a text one stays; rows without id stay where no row with an id is near them."""
-    named = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    kept = docs.join(named, docs[id_col].eqNullSafe(named["kept_id"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    """The documents, all columns, one of each group of near-duplicates: of those with the least id the one whose text has
+    the least digest. Of rows that repeat an id and a text any one stays; a row without id stays where no row with an id
+    is near it."""
+    found = stored(_named(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key"))).select("id", "key"), "kept")
+    kept = found.distinct().select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key"))
+    key = F.unhex(F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")))
+    chosen = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]) & (key == kept["kept_key"]), "left_semi")
+    return chosen.dropDuplicates([id_col, text_col]) if found.count() > kept.count() else chosen

@@ -56,6 +56,13 @@ def test_simhash_of_documents(docs, no_docs, texts):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    a, b, c = ("one two three four five six seven eight", "quite another text with words of its own in it", "a third thing that has nothing to do with them")
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, b), (None, c), (None, c)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(3, a), (5, b), (0, c)])
+
+
 @pytest.mark.parametrize("tile", [4096, 16])
 def test_links_join_what_is_linked(spark, tile):
     rng = random.Random(4)

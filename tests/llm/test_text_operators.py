@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -324,8 +325,8 @@ def test_quality_network_separates_held_out_rows(spark):
 
 
 def _shingles(text):
-    words = re.sub(r"[\x00-\x7f]", lambda m: m[0] if m[0].isalnum() else " ", text.lower()).split()
-    return words
+    apart = lambda c: not c.isalnum() if c.isascii() else unicodedata.category(c)[0] in "ZPS" or unicodedata.category(c) == "Cc"
+    return "".join(" " if apart(c) else c for c in text.lower()).split()
 
 
 def test_decontamination_is_exact(spark, docs, no_docs, texts):
@@ -348,5 +349,14 @@ def test_decontamination_is_exact(spark, docs, no_docs, texts):
     clean = decontaminate.without_items(docs, bench)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, _ in texts if i not in hit)
     assert decontaminate.find_items(docs, bench.limit(0)).count() == 0 and decontaminate.find_items(no_docs, bench).count() == 0
-    parts = decontaminate.passes(bench, "item_id", "text", max_bytes=100)
-    assert len(parts) > 1 and sum(map(len, parts)) == len(items)
+    parts = list(decontaminate.passes(bench, "text", max_bytes=100))
+    assert len(parts) > 1 and sum(map(len, parts)) == len({t or "" for _, t in items})
+    assert by_row(decontaminate.find_items(docs, bench, max_bytes=100).collect(), "doc_id", "item_id", "shared", "size") == sorted(want)
+    assert sorted(r["doc_id"] for r in decontaminate.without_items(docs, bench, max_bytes=100).collect()) == sorted(i for i, _ in texts if i not in hit)
+
+
+def test_decontamination_sees_through_punctuation(spark):
+    docs = spark.createDataFrame([(1, "He said: “the old stone bridge” — built in 1820 — still carries the road…"), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "the old stone bridge built in 1820 still carries the road"), (None, "the old stone bridge built in 1820 still carries the road")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs, bench).collect()} == {(1, 7), (1, None)}
+    assert [r["doc_id"] for r in decontaminate.without_items(docs, bench).collect()] == [2]
