@@ -254,6 +254,21 @@ def test_edited_texts(spark, docs, no_docs, texts):
     assert winnow.compare_edited(no_docs).count() == 0
 
 
+def test_neighbours_of_clustered_and_awkward_ids(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "BUCKET_CHARS", 500)
+    rows = [(k, f"text number {k} " * 5) for k in range(60)] + [(2**62, "far away"), (-(2**61), "far below"), (None, "no id"), (7, "again"), (7, None)]
+    got = winnow.compare_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    order = sorted(((i, t or "") for i, t in rows if i is not None), reverse=True) + [(None, "no id")]
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want.append((str(i), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got.collect()) == sorted(want)
+    chained, _ = winnow.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert chained.groupBy("bucket").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] < 1500
+    assert all(list(r["positions"]) == sorted(r["positions"]) and len(r["positions"]) == len(r["hashes"]) for r in got.collect())
+
+
 def test_main_text():
     page = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><header><h1>Site</h1><a href=1>Home</a></header>
     <div class="cookie-notice">We use cookies on the site and more of it</div><div class="has-sidebar"><div id="content"><h2>Title &amp; more</h2>
