@@ -113,4 +113,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_fingerprints": op5_fingerprints, "op6_repeats": op6_repeats, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_token_counts": op9_token_counts, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL: dict[str, str] = {}
+#: Words as decontaminate.words_of has them.
+WORDS_SQL = "string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\\p{Z}\\p{Cc}\\p{P}\\p{S}]+', ' ', 'g')), ' ')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontaminate": f"""WITH i AS (SELECT item_id, ws, least(len(ws), 5) AS n FROM (SELECT item_id, {WORDS_SQL} AS ws FROM benchmark) WHERE ws[1] <> ''),
+s AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM i)),
+d AS (SELECT DISTINCT doc_id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM (SELECT doc_id, {WORDS_SQL} AS ws FROM documents), (SELECT DISTINCT n FROM s) WHERE len(ws) >= n))
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(size) AS n_shingles FROM s JOIN d USING (n, g) JOIN (SELECT item_id, count(*) AS size FROM s GROUP BY 1) USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(size) - 1e-9"""
+}
