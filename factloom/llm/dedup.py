@@ -1,22 +1,23 @@
 """Removal of repeated byte strings: every byte that lies in a LENGTH-byte string which also starts anywhere else.
 
-1. Equal texts collapse to one row with its number of copies, in a table bucketed by content key.
+1. Equal texts, by SHA-256, collapse to one row with its number of copies, in a table bucketed by that key.
 2. Each window of LENGTH bytes belongs to its minimizer, the least hash of its GRAM-byte substrings, so equal windows
-   meet wherever they stand. Neighbouring windows with one minimizer form a segment.
+   meet wherever they stand. Neighbouring windows with one minimizer form a segment, known by a 128-bit digest.
 3. A minimizer that occurs once has no repeats. One whose segments are all the same bytes is repeated throughout. Only
    the distinct segments of other minimizers need their bytes.
-4. These are dealt out by minimizer into shards of bounded size; each shard is suffix-sorted by induced sorting, and
-   windows equal to a neighbour's in that order are repeated. A minimizer with over HOT different segments or over
-   HOT_BYTES of them (a passage that very many texts share in different surroundings, or long runs of a short period,
-   which are one segment each) would fill one shard: its windows are counted by 128-bit hashes instead, which any
-   number of tasks share.
+4. These are dealt out by minimizer into shards of about SHARD_BYTES. A shard is written to a file and suffix-sorted by
+   external induced sorting, whatever its size; windows whose common prefix with a neighbour is LENGTH bytes are
+   repeated. A minimizer with over HOT different segments or over HOT_BYTES of them (a passage that very many texts
+   share in different surroundings, or long runs of a short period, which are one segment each) would put one key's
+   rows into one task, and suffix order cannot be split by rows: its windows are counted by 128-bit hashes, which any
+   number of tasks share, and those that agree are compared byte by byte.
 5. The spans of each distinct text unite, and every document takes its text's result.
 
-Only step 4 looks at bytes of several documents, and no step gathers the members of a group: hot minimizers and hot
-texts are counted before they are shuffled, and the joins that lead back to texts are ones that can be split.
+No step gathers the members of a group: hot minimizers and hot texts are counted before they are shuffled, and the joins
+that lead back to texts are ones that can be split.
 
 Defined results: null texts are empty; texts under LENGTH bytes keep every byte; a text with copies of LENGTH bytes or
-more loses all of them; strings are judged on the input; nothing depends on ids.
+more loses all of them; strings are judged on the input; nothing depends on ids, which may be null or repeat.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow import pieces, stored, trim
+from factloom.llm import suffixes
+from factloom.llm.arrow import label, pieces, stored, trim
 from factloom.llm.decontaminate import POWERS, _byte_values
-from factloom.llm.suffixes import repeated, suffix_array
+from factloom.llm.suffixes import Scratch
 
 LENGTH = 200
 GRAM = 24
@@ -64,12 +67,13 @@ def _window_least(value: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, start and size of each segment, the hash of its minimizer and of its bytes, and whether the minimizer stands
-    in it more than once, as it must where windows of one segment are equal."""
-    whole = np.frombuffer(b"".join(texts), np.uint8)
+    """Row, start and size of each segment, the hash of its minimizer, the digest of its bytes, and whether the minimizer
+    stands in it more than once, as it must where windows of one segment are equal."""
+    joined = b"".join(texts)
+    whole = np.frombuffer(joined, np.uint8)
     none = np.zeros(0, np.int64)
     if len(whole) < length:
-        return none, none, none, none, none, none.astype(bool)
+        return none, none, none, none, [], none.astype(bool)
     POWERS.need(len(whole) + 1)
     sums = np.zeros(len(whole) + 1, np.uint64)
     np.cumsum(_byte_values()[whole] * POWERS.up[: len(whole)], out=sums[1:])
@@ -88,10 +92,10 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     begin = begin[inside[begin]]
     # The last window of a segment comes before the next segment and ends inside its text.
     stop = np.minimum(np.append(begin[1:], len(least)), ends[row[begin]] - length + 1) + length - 1
-    content = _mixed((sums[stop] - sums[begin]) * POWERS.down[begin])
+    content = [xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(begin.tolist(), stop.tolist())]
     owner = row[begin]
     several = (left[begin] != right[stop - length]) | (stop - begin > 2 * length)
-    return owner, begin - (ends - sizes)[owner], stop - begin, least[begin].view(np.int64), content.view(np.int64), several
+    return owner, begin - (ends - sizes)[owner], stop - begin, least[begin].view(np.int64), content, several
 
 
 def _segment_rows(batches):
@@ -100,7 +104,7 @@ def _segment_rows(batches):
             texts = [t.encode() for t in piece.column(2).to_pylist()]
             owner, start, size, least, content, several = segments(texts)
             take = pa.array(owner)
-            columns = [piece.column(0).take(take), piece.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(least), pa.array(content), pa.array(several)]
+            columns = [piece.column(0).take(take), piece.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(least), pa.array(content, pa.binary()), pa.array(several)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "copies", "start", "size", "least", "content", "several"])
     trim()
 
@@ -115,7 +119,7 @@ def _cut(batches):
                 for w in wanted:
                     least.append(w["least"]), content.append(w["content"]), copies.append(w["copies"])
                     cut.append(raw[w["start"] : w["start"] + w["size"]])
-            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(content, pa.int64()), pa.array(copies, pa.int64()), pa.array(cut, pa.binary())], names=["least", "content", "copies", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(content, pa.binary()), pa.array(copies, pa.int64()), pa.array(cut, pa.binary())], names=["least", "content", "copies", "bytes"])
 
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -138,30 +142,87 @@ def _covered(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _shard(batches):
-    """Repeated spans of the segments of one shard; a segment with copies is repeated throughout."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    table = pa.Table.from_batches(rows)
-    parts = table.column(3).to_pylist()
-    copies = table.column(2).to_numpy()
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    text = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(parts)), sizes)
-    # Windows that run over a segment's end stand for no string of the input.
-    fits = np.arange(len(text)) + LENGTH <= ends[row]
-    order = suffix_array(text, LENGTH)
-    again = repeated(text, order[fits[order]], LENGTH)
-    spans = []
-    for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
-        a, b = (np.array([0]), np.array([n])) if copies[i] > 1 else _covered(again[e - n : e], LENGTH)
-        spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b)])
-    keep = np.flatnonzero([bool(s) for s in spans])
-    if len(keep):
-        yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().take(pa.array(keep)), table.column(1).combine_chunks().take(pa.array(keep)), pa.array([spans[k] for k in keep], SPANS_TYPE)], names=["least", "content", "spans"])
-    del table, parts, text, order, again, spans
+def _squeezed(raw: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bytes with runs of one byte cut down to LENGTH, and the cuts: where a run begins, and how much of it is gone.
+
+    All windows inside such a run are equal, and no other window sees more than LENGTH - 1 bytes of it."""
+    text = np.frombuffer(raw, np.uint8)
+    edges = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1, [len(text)]])
+    size = np.diff(edges)
+    long = np.flatnonzero(size > LENGTH)
+    if not len(long):
+        return raw, []
+    out, cuts, at = [], [], 0
+    for a, n in zip(edges[long].tolist(), size[long].tolist()):
+        out.append(raw[at : a + LENGTH])
+        at = a + n
+        cuts.append((a, n - LENGTH))
+    return b"".join([*out, raw[at:]]), cuts
+
+
+def _widened(again: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+    """The mask of a squeezed segment's windows in the whole one."""
+    parts, at, gone = [], 0, 0
+    for a, n in cuts:
+        parts += [again[at : a - gone], np.ones(n + 1, bool)]
+        at, gone = a - gone + 1, gone + n
+    return np.concatenate([*parts, again[at:]])
+
+
+def _repeated(text: np.ndarray, fits: np.ndarray, again: np.ndarray, scratch: Scratch, held: int, base: int) -> None:
+    """Mark, among the windows that fit, those whose common prefix with a neighbour in suffix order is LENGTH bytes."""
+    last, low = None, LENGTH
+    for position, prefix in suffixes.suffixes(text, 255, LENGTH, scratch, held, base):
+        at = np.flatnonzero(fits[position])
+        if not len(at):
+            low = min(low, int(prefix.min()))
+            continue
+        least = np.minimum.reduceat(prefix[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
+        least[0] = min(int(least[0]), low) if last is not None else 0
+        here, same = position[at], least >= LENGTH
+        again[here[same]] = True
+        again[np.concatenate([here[:1] if last is None else last, here[:-1]])[same]] = True
+        last, low = here[-1:], int(prefix[at[-1] + 1 :].min(initial=LENGTH))
+
+
+def _shard(batches, held: int = suffixes.HELD, base: int = suffixes.BASE):
+    """Repeated spans of the segments of one shard; a segment with copies is repeated throughout. Bytes, and all that the
+    sort keeps of them, lie in files."""
+    with Scratch() as scratch:
+        rows, sizes, cuts, at = [], [], {}, 0
+        with open(scratch.name(), "wb") as out:
+            path = out.name
+            for batch in batches:
+                for raw in batch.column(3).to_pylist():
+                    raw, gone = _squeezed(raw)
+                    if gone:
+                        cuts[len(sizes)] = gone
+                    sizes.append(len(raw))
+                    out.write(raw)
+                rows.append(batch.select([0, 1, 2]))
+        sizes = np.array(sizes, np.int64)
+        ends = np.cumsum(sizes)
+        if not len(sizes):
+            return
+        text = np.memmap(path, np.uint8, "r", shape=(int(ends[-1]),))
+        again, fits = scratch.array(np.bool_, len(text)), scratch.array(np.bool_, len(text))
+        # Windows that run over a segment's end stand for no string of the input.
+        for e, n in zip(ends.tolist(), sizes.tolist()):
+            fits[e - n : max(e - n, e - LENGTH + 1)] = True
+        _repeated(text, fits, again, scratch, held, base)
+        k = 0
+        for batch in rows:
+            spans = []
+            for copies in batch.column(2).to_pylist():
+                mask = np.asarray(again[ends[k] - sizes[k] : ends[k]])
+                mask = _widened(mask, cuts[k]) if k in cuts else mask
+                a, b = (np.array([0]), np.array([len(mask)])) if copies > 1 else _covered(mask, LENGTH)
+                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b)])
+                k += 1
+            keep = pa.array(np.flatnonzero([bool(x) for x in spans]))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array([spans[i] for i in keep.to_pylist()], SPANS_TYPE)], names=["least", "content", "spans"])
+        del text, again, fits
     trim()
 
 
@@ -205,6 +266,18 @@ def _window_rows(batches):
     trim()
 
 
+def _window_bytes(batches):
+    """The bytes of the windows of listed places: least, content, copies, start, bytes."""
+    for batch in batches:
+        for piece in pieces(batch, 3, SLICE // LENGTH):
+            least, content, copies, start, window = [], [], [], [], []
+            for row in piece.to_pylist():
+                for s in row["starts"]:
+                    least.append(row["least"]), content.append(row["content"]), copies.append(row["copies"]), start.append(s)
+                    window.append(row["bytes"][s : s + LENGTH])
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(content, pa.binary()), pa.array(copies, pa.int64()), pa.array(start, pa.int32()), pa.array(window, pa.binary())], names=["least", "content", "copies", "start", "window"])
+
+
 def _joined(batches):
     """Spans of the windows that start at the listed places: touching ones become one."""
     for batch in batches:
@@ -244,18 +317,18 @@ def _results(batches):
             )
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT, hot_bytes: int = HOT_BYTES, held: int = suffixes.HELD, base: int = suffixes.BASE) -> DataFrame:
     """Columns: the id, n_bytes, spans (removed byte runs: start, end), kept_sha256."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
-    name = f"distinct_texts_{uuid.uuid4().hex}"
+    keyed = docs.select(F.col(id_col), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text"))
+    name = f"{label(spark)}_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"))
     distinct.write.bucketBy(buckets, "key").saveAsTable(name)
     texts = spark.table(name)
 
-    found = stored(texts.select("key", "copies", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_segment_rows, "key binary, copies long, start int, size int, least long, content long, several boolean"), "segments")
+    found = stored(texts.select("key", "copies", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_segment_rows, "key binary, copies long, start int, size int, least long, content binary, several boolean"), "segments")
     # Minimizers that occur more than once, and whether they do in the same segment over and over.
     counted = found.groupBy("least").agg(F.sum("copies").alias("n"), (F.min("content") == F.max("content")).alias("same"), F.bool_or("several").alias("several"))
     shared = counted.where("n > 1 or several").select("least", F.expr("n > 1 and same").alias("alike"))
@@ -270,15 +343,20 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(rows: DataFrame) -> DataFrame:
         wanted = rows.select("at.key", F.struct("least", "content", "copies", "at.start", "at.size").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))  # at most a text's own segments
-        return texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_cut, "least long, content long, copies long, bytes binary")
+        return texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_cut, "least long, content binary, copies long, bytes binary")
 
     size = calm.agg(F.sum("at.size")).first()[0] or 0
-    spans = cut(calm).repartition(max(1, math.ceil(size / shard_bytes)), "least").mapInArrow(_shard, f"least long, content long, spans {SPANS}")
+    spans = cut(calm).repartition(max(1, math.ceil(size / shard_bytes)), "least").mapInArrow(lambda batches: _shard(batches, held, base), f"least long, content binary, spans {SPANS}")
     if crowds:
-        windows = stored(cut(chosen.join(crowded, "least", "left_semi")).mapInArrow(_window_rows, "least long, content long, copies long, start int, h1 long, h2 long"), "windows")
-        again = windows.groupBy("least", "h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("least", "h1", "h2")
-        starts = windows.join(again, ["least", "h1", "h2"], "left_semi").groupBy("least", "content", F.floor(F.col("start") / SLICE)).agg(F.collect_list("start").alias("starts"))
-        spans = spans.unionAll(starts.select("least", "content", "starts").mapInArrow(_joined, f"least long, content long, spans {SPANS}"))
+        bytes_of = cut(chosen.join(crowded, "least", "left_semi"))
+        windows = stored(bytes_of.mapInArrow(_window_rows, "least long, content binary, copies long, start int, h1 long, h2 long"), "windows")
+        alike = windows.groupBy("least", "h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("least", "h1", "h2")
+        offered = windows.join(alike, ["least", "h1", "h2"], "left_semi").groupBy("least", "content", F.floor(F.col("start") / SLICE).alias("slice")).agg(F.collect_list("start").alias("starts"))
+        # Hashes only offer: windows are repeated whose bytes are. Each is counted before it is shuffled.
+        seen = stored(bytes_of.join(offered, ["least", "content"]).select("least", "content", "copies", "bytes", "starts").mapInArrow(_window_bytes, "least long, content binary, copies long, start int, window binary"), "seen")
+        again = seen.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+        starts = seen.join(again, "window", "left_semi").groupBy("least", "content", F.floor(F.col("start") / SLICE)).agg(F.collect_list("start").alias("starts"))
+        spans = spans.unionAll(starts.select("least", "content", "starts").mapInArrow(_joined, f"least long, content binary, spans {SPANS}"))
     part = mixed.join(spans, ["least", "content"]).select("key", "start", F.explode("spans").alias("s")).select("key", (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"))
     removed = whole.unionAll(part).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     results = texts.select("key", "copies", "text").join(removed, "key", "left").select("key", "copies", "text", "found").mapInArrow(_results, f"key binary, n_bytes long, spans {SPANS}, kept_sha256 string")

@@ -22,10 +22,10 @@ def test_long_runs_do_not_fill_a_shard(spark, monkeypatch):
                 gone[k : k + n] = [True] * n
         want.append((i, sum(gone), "".join(c for c, g in zip(t, gone) if not g)))
 
-    def watched(batches, real=dedup._shard):
+    def watched(batches, *bounds, real=dedup._shard):
         held = list(batches)
         assert sum(len(x.as_py()) for b in held for x in b.column(3)) <= bound
-        return real(iter(held))
+        return real(iter(held), *bounds)
 
     monkeypatch.setattr(dedup, "_shard", watched)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

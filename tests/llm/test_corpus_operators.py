@@ -93,17 +93,55 @@ def test_components_of_a_long_chain(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
-def test_suffix_order_and_repeats():
-    rng = random.Random(1)
-    for alphabet in (2, 3, 200):
-        for _ in range(300):
-            n = rng.randint(0, 60)
-            text = np.array([rng.randrange(alphabet) for _ in range(n)], np.uint8)
-            raw = text.tobytes()
-            order = suffixes.suffix_array(text, 64, held_bytes=rng.choice([8, 64, 1 << 20]))
-            assert order.tolist() == sorted(range(n), key=lambda i: raw[i:])
-            want = [i + 5 <= n and sum(raw[j : j + 5] == raw[i : i + 5] for j in range(n - 4)) > 1 for i in range(n)]
-            assert suffixes.repeated(text, order, 5).tolist() == want
+def _shared(a, b, depth):
+    n = 0
+    while n < min(len(a), len(b), depth) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("base, chunk", [(1 << 20, 1 << 17), (3, 4), (0, 1), (3, 1 << 17)])
+def test_suffix_order_and_prefixes(monkeypatch, base, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    rng = random.Random(base + chunk)
+    for alphabet in (1, 2, 3, 200, 5000):
+        for _ in range(60 if chunk > 4 else 25):
+            n, top = rng.randint(0, 90), alphabet - 1
+            values = [rng.randrange(alphabet) for _ in range(n)]
+            if rng.random() < 0.4:
+                values = (values[:17] * 9)[:n]
+            text = np.array(values, np.uint8 if alphabet <= 256 else np.int32)
+            with suffixes.Scratch() as scratch:
+                rows = list(suffixes.suffixes(text, top, 64, scratch, held=rng.choice([8, 64, 1 << 20]), base=base))
+            order, prefix = ([x for part in rows for x in part[k].tolist()] for k in (0, 1))
+            assert sorted(order) == list(range(len(values)))
+            for k, (a, b) in enumerate(zip(order, order[1:])):
+                assert prefix[k + 1] == _shared(values[a:], values[b:], 64)
+                assert values[a : a + 64] >= values[b : b + 64]
+
+
+def test_a_text_far_larger_than_memory(monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 1 << 10)
+    rng = np.random.default_rng(8)
+    piece = rng.integers(97, 105, 30_000, dtype=np.uint8)
+    raw = np.concatenate([piece, rng.integers(97, 105, 150_000, dtype=np.uint8), piece[:20_000], piece[5_000:]])
+    most = [0]
+
+    def watched(self, key, position, prefix, real=suffixes.Queue.put):
+        real(self, key, position, prefix)
+        most[0] = max(most[0], self.held)
+
+    monkeypatch.setattr(suffixes.Queue, "put", watched)
+    with suffixes.Scratch() as scratch:
+        path = scratch.name()
+        raw.tofile(path)
+        text, again, fits = np.memmap(path, np.uint8, "r"), np.zeros(len(raw), bool), np.arange(len(raw)) <= len(raw) - dedup.LENGTH
+        dedup._repeated(text, fits, again, scratch, held=20_000, base=5_000)
+        assert os.path.isdir(scratch.path)
+    assert not os.path.isdir(scratch.path) and most[0] <= 5_000 + 10 * suffixes.CHUNK
+    count = Counter(raw[k : k + 200].tobytes() for k in range(len(raw) - 199))
+    want = np.array([k + 200 <= len(raw) and count[raw[k : k + 200].tobytes()] > 1 for k in range(len(raw))])
+    assert (again == want).all() and want.sum() > 70_000
 
 
 def _removed(rows):
@@ -119,10 +157,10 @@ def _removed(rows):
     return out
 
 
-@pytest.mark.parametrize("shard, hot", [(4 << 20, 4096), (2000, 4096), (4 << 20, 1), (2000, 0)])
-def test_repeated_strings(spark, docs, no_docs, texts, shard, hot):
+@pytest.mark.parametrize("shard, hot, base", [(4 << 20, 4096, 1 << 21), (2000, 4096, 1 << 21), (4 << 20, 4096, 100), (4 << 20, 1, 1 << 21), (2000, 0, 1 << 21)])
+def test_repeated_strings(spark, docs, no_docs, texts, shard, hot, base):
     want = sorted((i, *r) for (i, _), r in zip(texts, _removed([(t or "").encode() for _, t in texts])))
-    got = sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in dedup.find_repeats(docs, shard_bytes=shard, hot=hot).collect())
+    got = sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in dedup.find_repeats(docs, shard_bytes=shard, hot=hot, held=30_000, base=base).collect())
     assert got == want and sum(r[2] for r in want) > 2000
     assert dedup.find_repeats(no_docs).count() == 0
 
