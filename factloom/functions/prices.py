@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 DIGITS = "零一二三四五六七八九"
 
 
+# Spellings of prices.
+TEN_THOUSANDS = r"([0-9]+(?:\.[0-9]+)?)万元"
+YUAN = r"(?<![0-9])([1-9][0-9]{1,2}(?:,[0-9]{3})+|[1-9][0-9]{4,6})元"
+
+
 def price_set(c: Column) -> Column:
     """Distinct prices in ten thousands, two decimals: X万元, then yuan amounts with separators or of 5 to 7 digits."""
-    ten_thousands = F.transform(F.regexp_extract_all(c, F.lit(r"(\d+(?:\.\d+)?)\s*万"), F.lit(1)), lambda v: F.round(v.cast("double"), 2))
-    yuan = F.transform(F.regexp_extract_all(c, F.lit(r"(?<!\d)(\d{1,3}(?:,\d{3})+|\d{5,7})\s*元"), F.lit(1)), lambda v: F.round(F.replace(v, F.lit(","), F.lit("")).cast("double") / 10000, 2))
-    return F.array_distinct(F.concat(ten_thousands, yuan))
+    big = F.transform(F.regexp_extract_all(c, F.lit(TEN_THOUSANDS), F.lit(1)), lambda v: F.round(v.cast("double"), 2))
+    yuan = F.transform(F.regexp_extract_all(c, F.lit(YUAN), F.lit(1)), lambda v: F.round(F.replace(v, F.lit(","), F.lit("")).cast("double") / 10000, 2))
+    return F.array_distinct(F.concat(big, yuan))
 
 
 def yuan_list(c: Column) -> Column:

@@ -105,6 +105,24 @@ def expanded_decisions(groups: DataFrame, chosen: DataFrame | None = None) -> Da
     return given.select("diff_id", F.when(choice == "KEEP_OLD_ONLY", "SKIP").otherwise("ACCEPT_NEW").alias("decision"), F.lit(False).alias("confirmed"), (choice == "ADD_NEW_KEEP_OLD").alias("keep_old"))
 
 
+def relation_decisions(groups: DataFrame, choices: DataFrame) -> DataFrame:
+    """Decisions of the members of relation groups: diff_id, decision, keep_old, confirmed.
+
+    groups: group_id, group_ord, diff_id, is_new (a new item's review; else an old item's row), change_type, item_id.
+    choices: group_id, choice, confirmed, selected (ids kept by CUSTOM; null: none). Without a choice new items come in
+    beside the old. Old rows are decided only if unchanged or under review; of several groups of a row the last counts."""
+    rows = groups.join(choices, "group_id", "left").where("is_new or change_type in ('UNCHANGED', 'REVIEW_REQUIRED')")
+    choice = F.coalesce("choice", F.lit("ADD_NEW_KEEP_OLD"))
+    picked = F.coalesce(F.array_contains("selected", F.col("item_id")), F.lit(False))
+    custom, new = choice == "CUSTOM", F.col("is_new")
+    of_new = F.when((choice == "KEEP_OLD_ONLY") | (custom & ~picked), "SKIP").otherwise("ACCEPT_NEW")
+    of_old = F.when((choice == "REPLACE_OLD_WITH_NEW") | (custom & ~picked), "REMOVE").otherwise("KEEP_OLD")
+    keep = new & ((choice == "ADD_NEW_KEEP_OLD") | (custom & picked))
+    sure = ~new & F.coalesce("confirmed", F.lit(False)) & (of_old == "REMOVE")
+    decided = rows.select("diff_id", "group_ord", "group_id", F.struct(F.when(new, of_new).otherwise(of_old).alias("decision"), keep.alias("keep_old"), sure.alias("confirmed")).alias("d"))
+    return decided.groupBy("diff_id").agg(F.max_by("d", F.struct("group_ord", "group_id")).alias("d")).select("diff_id", "d.*")
+
+
 def shared_tokens(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int) -> DataFrame:
     """For each left text the k right texts of greatest token Jaccard similarity. Texts meet over common tokens, counted by
     equi-join; tokens are counted before, so no text is compared with one that shares nothing."""

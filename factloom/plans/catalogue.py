@@ -2,50 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import dates, models, prices
 from factloom.functions import text as T
-from factloom.operators import coverage, diff, facts, match, merge, quality, review
+from factloom.operators import coverage, diff, facts, match, merge, review
 from factloom.plans import entities as E
+from factloom.plans import knowledge  # noqa: F401 - registers its queries
+from factloom.plans.registry import ORACLE_SQL, QUERIES, any_sql, query, read  # noqa: F401
 from factloom.shipping import ship
 from factloom.sources import chunks, sheets
 from factloom.streaming import updates
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 OLD, NEW = E.duck(E.knowledge_sql("old")), E.duck(E.knowledge_sql("new"))
 BOTH = f"({OLD}) UNION ALL ({NEW})"
 
 
-def both(spark: SparkSession, sf_dir: str) -> DataFrame:
+def both(spark, sf_dir):
     old, new = E.knowledge(spark, sf_dir)
     return old.unionAll(new)
 
 
-def any_sql(column: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
-
-
 # ---- text ----
 
 
@@ -329,65 +307,7 @@ def price_stats(spark, sf_dir):
     return facts.price_stats(d)
 
 
-# ---- quality ----
-
 RAG = E.duck(E.RAG)
-REASON = f"CASE WHEN answer_type = 'need_confirm' THEN 'answer_type' WHEN need_confirm = '是' THEN 'need_confirm' WHEN review_type IN ('conflict', 'missing') THEN 'review_type' WHEN answer IN ('', '暂无') THEN 'missing_answer' END"
-MARKED = f"SELECT *, {REASON} AS why FROM ({RAG})"
-
-
-@query(f"SELECT rag_id, why IS NULL AS exportable, CASE WHEN why IS NOT NULL AND EXISTS (SELECT 1 FROM ({MARKED}) g WHERE g.why IS NULL AND g.model = m.model AND g.category = m.category) THEN 'covered' ELSE why END AS block_reason FROM ({MARKED}) m")
-def quality_gate(spark, sf_dir):
-    return quality.gated(E.rag_items(spark, sf_dir)).select("rag_id", "exportable", "block_reason")
-
-
-@query(f"SELECT knowledge_type AS sheet, count(*) AS items, count(DISTINCT model) AS models FROM ({MARKED}) WHERE why IS NULL GROUP BY 1")
-def exportable_split(spark, sf_dir):
-    good = quality.gated(E.rag_items(spark, sf_dir)).where("exportable")
-    return good.groupBy(F.col("knowledge_type").alias("sheet")).agg(F.count(F.lit(1)).alias("items"), F.count_distinct("model").alias("models"))
-
-
-@query(f"SELECT brand, model, trim, count(DISTINCT price) AS n_prices, array_to_string(list_sort(list_distinct(list(price))), ',') AS prices FROM ({MARKED}) WHERE why IS NULL AND category = '价格' GROUP BY ALL HAVING count(DISTINCT price) > 1")
-def price_conflicts(spark, sf_dir):
-    return quality.price_conflicts(E.rag_items(spark, sf_dir))
-
-
-@query(f"SELECT DISTINCT model FROM ({MARKED}) m WHERE why IS NULL AND category = '价格' AND NOT EXISTS (SELECT 1 FROM ({MARKED}) g WHERE g.why IS NULL AND g.category = '价格' AND g.trim = '全系' AND g.model = m.model)")
-def price_overview_missing(spark, sf_dir):
-    return quality.without_overview(E.rag_items(spark, sf_dir))
-
-
-ISSUES = f"""SELECT rag_id, 'empty_question' AS issue_type, 'error' AS risk_level FROM ({MARKED}) WHERE question = '' UNION ALL SELECT rag_id, 'empty_answer', 'error' FROM ({MARKED}) WHERE answer = ''
-UNION ALL SELECT rag_id, 'non_exportable', 'warning' FROM ({MARKED}) WHERE why IS NOT NULL UNION ALL SELECT rag_id, 'no_fact_refs', 'warning' FROM ({MARKED}) WHERE n_refs = 0
-UNION ALL SELECT rag_id, 'long_dynamic_answer', 'warning' FROM ({MARKED}) WHERE knowledge_type = 'dynamic' AND length(answer) > 180
-UNION ALL SELECT rag_id, 'static_dynamic_mismatch', 'warning' FROM ({MARKED}) WHERE knowledge_type = 'static' AND {any_sql('answer', ['免息', '优惠', '活动'])}"""
-
-
-@query(ISSUES)
-def rule_qc(spark, sf_dir):
-    return quality.rule_issues(E.rag_items(spark, sf_dir))
-
-
-@query(
-    f"SELECT total_rag, warning, error, greatest(total_rag - warning - error, 0) AS pass, CASE WHEN error > 0 THEN '需处理' WHEN warning > 0 THEN '需优化' ELSE '通过' END AS overall_result FROM (SELECT (SELECT count(*) FROM part) AS total_rag, count(*) FILTER (risk_level = 'warning') AS warning, count(*) FILTER (risk_level = 'error') AS error FROM ({ISSUES}))"
-)
-def qc_summary(spark, sf_dir):
-    items = E.rag_items(spark, sf_dir)
-    return quality.qc_summary(items, quality.rule_issues(items))
-
-
-@query(
-    f"""SELECT rag_id, CASE WHEN stop THEN 'rule_issue' WHEN reasons <> '' THEN 'llm' ELSE 'rule_pass' END AS route, CASE WHEN stop THEN '' ELSE reasons END AS reasons FROM (SELECT rag_id, (question = '' OR answer = '' OR why IS NOT NULL) AS stop,
-concat_ws(',', CASE WHEN knowledge_type = 'dynamic' THEN 'dynamic' END, CASE WHEN {any_sql('answer', quality.HIGH_RISK)} THEN 'high_risk_words' END, CASE WHEN len(regexp_extract_all(answer, '[0-9]+')) >= 3 THEN 'many_numbers' END, CASE WHEN n_refs > 1 THEN 'many_refs' END, CASE WHEN trim <> '全系' THEN 'scoped' END) AS reasons FROM ({MARKED}))"""
-)
-def risk_route(spark, sf_dir):
-    items = E.rag_items(spark, sf_dir)
-    return quality.routes(items, quality.rule_issues(items))
-
-
-@query(f"SELECT model, count(*) AS n, count(*) FILTER (category = '配置') AS config, count(*) FILTER (category IN ('价格', '优惠', '质保')) AS core FROM ({RAG}) GROUP BY 1 HAVING n >= 10 AND config > 0.45 * n AND core < 4")
-def qc_config_heavy(spark, sf_dir):
-    return quality.config_heavy(E.rag_items(spark, sf_dir))
 
 
 # ---- sheets and text sources ----

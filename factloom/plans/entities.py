@@ -71,3 +71,49 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rag_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "part")
     return spark.sql(RAG)
+
+
+ITEMS = """
+SELECT p_partkey AS ord, 'R' || p_partkey AS rag_id, p_brand AS brand, CASE WHEN p_partkey % 41 = 0 THEN '' ELSE p_type || p_brand END AS model,
+  CASE p_partkey % 5 WHEN 0 THEN '全系' WHEN 1 THEN 'Pro' WHEN 2 THEN '需确认' WHEN 3 THEN '' ELSE '旗舰版' END AS trim,
+  CASE p_partkey % 6 WHEN 0 THEN '价格' WHEN 1 THEN '金融政策' WHEN 2 THEN '配置' WHEN 3 THEN '' WHEN 4 THEN '座椅' ELSE '空间' END AS category,
+  CASE WHEN p_partkey % 3 = 0 THEN '产品' ELSE '' END AS module, '' AS intent,
+  CASE p_partkey % 13 WHEN 0 THEN 'need_confirm' WHEN 1 THEN 'fact_answer' WHEN 2 THEN 'Need_Confirm' ELSE 'general' END AS answer_type,
+  CASE p_partkey % 20 WHEN 0 THEN '' WHEN 1 THEN '资料未提供相关内容' WHEN 2 THEN '没有数据，建议咨询门店' WHEN 3 THEN '建议您咨询当地门店了解' WHEN 4 THEN '整车质保三年'
+    WHEN 5 THEN '价格为12.5万元，不同版本价格会有差异' WHEN 6 THEN '高级皮质座椅很舒适' WHEN 7 THEN '自动驾驶解放双手' WHEN 8 THEN '标配倒车影像' WHEN 9 THEN '除180系列外Max可选'
+    WHEN 11 THEN '2024年3月5日至2024/4/1限时补贴' || CAST(p_size AS STRING) || '元' WHEN 12 THEN '道路救援服务，见活动政策' WHEN 13 THEN repeat('活动说明', 50) WHEN 14 THEN '标配倒车影像'
+    WHEN 15 THEN '见营销政策说明' WHEN 16 THEN 'Pro和Max都有' WHEN 17 THEN '活动时间' || CAST(2023 + p_size % 2 AS STRING) || '年' || CAST(1 + p_size % 12 AS STRING) || '月5日起'
+    ELSE '售价' || CAST((1000 + p_partkey % 90 * 10) * 100 AS STRING) || '元，配' || CAST(p_size AS STRING) || '英寸屏' END AS answer,
+  CASE p_partkey % 31 WHEN 0 THEN 'conflict' WHEN 1 THEN 'missing' WHEN 2 THEN 'range_issue' WHEN 3 THEN 'inference' WHEN 4 THEN 'scope_conflict' ELSE '' END AS review_type,
+  CASE p_partkey % 37 WHEN 0 THEN 'Invalid' WHEN 1 THEN 'unconfirmed' ELSE 'ok' END AS knowledge_status,
+  CASE p_partkey % 43 WHEN 0 THEN '是' WHEN 1 THEN 'true' WHEN 2 THEN 'True' ELSE '否' END AS need_confirm, p_partkey % 47 <> 0 AS exportable,
+  CASE p_partkey % 4 WHEN 1 THEN 'dynamic' WHEN 2 THEN 'finance' ELSE 'static' END AS knowledge_type,
+  CASE WHEN p_partkey % 19 = 0 THEN '' ELSE p_type || CASE p_partkey % 7 WHEN 0 THEN '多少钱' WHEN 1 THEN '屏幕多大' WHEN 2 THEN '怎么样，芯片好吗' ELSE '有什么' END END AS qa,
+  CASE WHEN p_partkey % 4 = 3 THEN '还有贷款吗' ELSE '' END AS qb,
+  CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'F' || p_partkey END AS ra, CASE p_partkey % 10 WHEN 1 THEN ' ' WHEN 2 THEN 'F2' ELSE '' END AS rb
+FROM part"""
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question-and-answer items that reach every branch of the gate, the checks and the router."""
+    load(spark, sf_dir, "part")
+    return spark.sql(f"SELECT *, array(qa, qb) AS questions, filter(array(ra, rb), x -> x <> '') AS fact_refs FROM ({ITEMS})").drop("qa", "qb", "ra", "rb")
+
+
+# Sheets of every kind, one a nation: a matrix of vehicles (even nations), a table below a title (odd), or single cells.
+GRID = """
+WITH s AS (SELECT s_suppkey, s_name, s_nationkey AS nk, CAST(round(abs(s_acctbal)) AS BIGINT) AS amount, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS k FROM supplier),
+l AS (SELECT 0 AS r, '品牌' AS name UNION ALL SELECT 1, '车系 名称' UNION ALL SELECT 2, '车型名称' UNION ALL SELECT 3, '厂商指导价' UNION ALL SELECT 4, '能源类型' UNION ALL SELECT 5, '备注' UNION ALL SELECT 6, '备注'),
+g AS (
+SELECT DISTINCT nk, r AS row, 0 AS col, name AS value FROM s CROSS JOIN l WHERE nk % 2 = 0
+UNION ALL SELECT nk, r, k, CASE r WHEN 0 THEN '牌' || nk WHEN 1 THEN '系' || k WHEN 2 THEN s_name WHEN 3 THEN CAST(amount AS STRING) WHEN 4 THEN CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '电动' END WHEN 5 THEN CASE WHEN s_suppkey % 2 = 0 THEN ' ' ELSE '注' || s_suppkey END ELSE '另' || s_suppkey END FROM s CROSS JOIN l WHERE nk % 2 = 0
+UNION ALL SELECT DISTINCT nk, 0, 0, '用户购车权益说明' FROM s WHERE nk % 2 = 1
+UNION ALL SELECT DISTINCT nk, 2, c.c, CASE c.c WHEN 0 THEN '序号' WHEN 1 THEN '名称' WHEN 2 THEN '' ELSE '名称' END FROM s CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) c WHERE nk % 2 = 1 AND nk % 7 <> 3
+UNION ALL SELECT nk, k + 2, c.c, CASE c.c WHEN 0 THEN CAST(k AS STRING) WHEN 1 THEN s_name WHEN 2 THEN CAST(amount AS STRING) ELSE CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '说' || k END END FROM s CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) c WHERE nk % 2 = 1 AND nk % 7 <> 3
+UNION ALL SELECT nk, k + 2, 1, s_name FROM s WHERE nk % 2 = 1 AND nk % 7 = 3)
+SELECT 'f' || nk % 3 AS file, CAST(nk AS STRING) AS sheet, row, col, value FROM g"""
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "supplier")
+    return spark.sql(GRID)
