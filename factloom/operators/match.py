@@ -12,6 +12,7 @@ from factloom.operators.lineage import settled
 
 MAX_CANDIDATES = 5
 MARGIN = 0.08
+ROUNDS = 60  # labels jump as well as spread, so a chain of names takes the logarithm of its length
 # Rule scores. They are doubles, summed in this order.
 REVIEW, STRUCTURED, NORMALIZED_QUESTION = 0.68, 0.82, 0.95
 
@@ -53,11 +54,33 @@ def _tier(n: str, o: str) -> Column:
     return F.least(*rules)
 
 
+def _keys(items: DataFrame, offered: bool) -> DataFrame:
+    """The keys over which rules join items of related names (offered: as old items are found, else as new ones look), one a row.
+
+    Related intents become equal keys: an item with the general intent looks for one with any kind of offer, and the other
+    way round."""
+    c, none = F.col, F.array().cast("array<string>")
+    offers = F.size(F.array_except("intents", F.array(F.lit("PRICE"), F.lit(T.GENERAL)))) > 0
+    general = F.array_contains("intents", T.GENERAL)
+    when = lambda holds, key: F.when(holds, F.array(F.lit(key))).otherwise(none)
+    kin = when(offers, "i|*") if offered else F.concat(when(general, "i|*"), when(offers, f"i|{T.GENERAL}"))
+    plain = F.filter(F.array(F.concat(F.lit("q|"), "q"), F.concat(F.lit("s|"), "signature"), F.lit("m|"), F.when(c("category") != "", F.concat(F.lit("c|"), "category")), F.when(c("knowledge_type") != "", F.concat(F.lit("k|"), "knowledge_type"))), lambda k: k.isNotNull())
+    keys = F.array_distinct(F.concat(plain, F.transform("intents", lambda i: F.concat(F.lit("i|"), i)), kin))
+    return items.select("model", "ord", "knowledge_id", F.explode(keys).alias("key"))
+
+
 def candidates(new: DataFrame, old: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """From normalised snapshots: pairs n, o (structs), relation, tier and rank, at most ``limit`` for each new item."""
+    """From normalised snapshots: pairs n, o (structs), relation, tier and rank, at most ``limit`` for each new item.
+
+    Every rule is an equality of keys, and of the old items of one name and key only the first ``limit`` can be chosen, so
+    a new item meets that many a key and name, however many items its name has."""
     pairs = related_models(new, old).withColumn("same_family", F.col("relation").isin("EXACT", "FAMILY", "VARIANT"))
-    joined = new.alias("n").join(pairs, F.col("n.model") == F.col("new_model")).join(old.alias("o"), F.col("old_model") == F.col("o.model"))
-    tiered = joined.withColumn("tier", _tier("n", "o")).where("tier is not null").select(F.struct("n.*").alias("n"), F.struct("o.*").alias("o"), "relation", "tier")
+    first = F.row_number().over(Window.partitionBy("model", "key").orderBy("ord", "knowledge_id"))
+    offered = _keys(old, True).withColumn("place", first).where(F.col("place") <= limit).select(F.col("model").alias("old_model"), "key", F.col("knowledge_id").alias("old_id"))
+    looking = _keys(new, False).select(F.col("model").alias("new_model"), "key", F.col("knowledge_id").alias("new_id"))
+    met = looking.join(pairs, "new_model").join(offered, ["old_model", "key"]).select("new_id", "old_id", "relation", "same_family").distinct()
+    joined = met.join(new.select(F.struct("*").alias("n")), F.col("new_id") == F.col("n.knowledge_id")).join(old.select(F.struct("*").alias("o")), F.col("old_id") == F.col("o.knowledge_id"))
+    tiered = joined.withColumn("tier", _tier("n", "o")).where("tier is not null").select("n", "o", "relation", "tier")
     order = Window.partitionBy("n.knowledge_id").orderBy("tier", "o.ord")
     return tiered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
@@ -127,7 +150,7 @@ def model_groups(pairs: DataFrame) -> DataFrame:
     edges = pairs.select(F.concat(F.lit("n:"), "new_model").alias("a"), F.concat(F.lit("o:"), "old_model").alias("b"))
     edges = settled(edges.unionAll(edges.select("b", "a")).distinct())
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("part")).distinct()
-    while True:
+    for _ in range(ROUNDS):
         least = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("part").alias("low"))
         spread = labels.join(least, F.col("node") == F.col("a"), "left").select("node", F.least("part", F.coalesce("low", "part")).alias("part"))
         jump = spread.select(F.col("node").alias("part"), F.col("part").alias("further"))
@@ -135,6 +158,7 @@ def model_groups(pairs: DataFrame) -> DataFrame:
         if spread.join(labels, ["node", "part"], "left_anti").limit(1).count() == 0:
             return spread
         labels = spread
+    raise RuntimeError(f"the graph of names did not settle in {ROUNDS} rounds")
 
 
 def assign(pairs: DataFrame, parts: DataFrame) -> DataFrame:

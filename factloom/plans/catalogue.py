@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import dates, models, prices
 from factloom.functions import text as T
 from factloom.operators import coverage, diff, facts, match, merge, review
+from factloom.operators.lineage import settled
 from factloom.plans import entities as E
 from factloom.plans import knowledge  # noqa: F401 - registers its queries
 from factloom.plans.registry import ORACLE_SQL, QUERIES, any_sql, query, read  # noqa: F401
@@ -144,15 +145,15 @@ def update_scope(spark, sf_dir):
 
 @query()
 def match_candidates(spark, sf_dir):
-    old, new = E.knowledge(spark, sf_dir)
-    found = match.candidates(match.normalized(new), match.normalized(old))
+    old, new = (settled(match.normalized(x)) for x in E.knowledge(spark, sf_dir))
+    found = match.candidates(new, old)
     return found.select(F.col("n.knowledge_id").alias("new_id"), F.col("o.knowledge_id").alias("old_id"), "relation", "tier", "rank")
 
 
 @query()
 def match_best(spark, sf_dir):
-    old, new = E.knowledge(spark, sf_dir)
-    return match.best(match.scored(match.candidates(match.normalized(new), match.normalized(old))))
+    old, new = (settled(match.normalized(x)) for x in E.knowledge(spark, sf_dir))
+    return match.best(match.scored(match.candidates(new, old)))
 
 
 SAME = f"SELECT o.*, n.question AS nq, n.answer AS na, n.category AS nc, n.knowledge_id AS new_id FROM ({OLD}) o JOIN ({NEW}) n ON o.ord = n.ord"
@@ -169,7 +170,7 @@ FROM (SELECT *, CASE WHEN missing OR over THEN 'REVIEW_REQUIRED' WHEN oa = xa TH
 FROM (SELECT *, {_amount_sql("answer")} AS oa, {_amount_sql("na")} AS xa, (question = '' OR answer = '' OR nq = '' OR na = '') AS missing, {any_sql("nq || ' ' || na", T.DEPRECATED)} AS over, {any_sql("question || nq || category || nc", T.PRICE_WORDS)} AS priced FROM ({SAME})))"""
 )
 def detect_change(spark, sf_dir):
-    old, new = (match.normalized(x) for x in E.knowledge(spark, sf_dir))
+    old, new = (settled(match.normalized(x)) for x in E.knowledge(spark, sf_dir))
     pairs = old.select("ord", F.struct("*").alias("o")).join(new.select("ord", F.struct("*").alias("n")), "ord")
     return diff.changed(pairs).select(F.col("n.knowledge_id").alias("new_id"), "change_type", "reason_code")
 

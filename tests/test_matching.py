@@ -67,6 +67,24 @@ def test_diff_behaviours(spark):
     assert len(got) == 6
 
 
+def test_candidates_equal_those_of_all_pairs(spark):
+    """Against the join of all items of related names, of which the five are chosen afterwards."""
+    from pyspark.sql import Window
+
+    price = lambda k, m: (f"{m}价格{k % 4}多少钱", f"{k}元", ["价格", "", "优惠"][k % 3], m, "", ["price", "policy", ""][k % 3])
+    offer = lambda k, m: (f"{m}有什么优惠" if k % 2 else f"{m}现金优惠{k}", "送流量" if k % 5 else "", "权益", m, "全系", "policy")
+    names = ["H6", "哈弗H6", "猛龙", "猛龙PHEV", ""]
+    rows = [(price, offer)[k % 2](k, names[k % 5]) for k in range(80)]
+    n, o = (match.normalized(items(spark, side, *part)).cache() for side, part in (("n", rows[::2] + rows[:9]), ("o", rows[1::2] + rows[3:40])))
+    pairs = models.related_models(n, o).withColumn("same_family", F.col("relation").isin("EXACT", "FAMILY", "VARIANT"))
+    joined = n.alias("n").join(pairs, F.col("n.model") == F.col("new_model")).join(o.alias("o"), F.col("old_model") == F.col("o.model"))
+    tiered = joined.withColumn("tier", match._tier("n", "o")).where("tier is not null")
+    order = Window.partitionBy("n.knowledge_id").orderBy("tier", "o.ord")
+    want = tiered.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("n.knowledge_id", F.col("o.knowledge_id").alias("old"), "tier", "rank", "relation")
+    got = match.candidates(n, o).select("n.knowledge_id", F.col("o.knowledge_id").alias("old"), "tier", "rank", "relation")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+
+
 def test_greedy_assignment_consumes_in_order(spark):
     from factloom.plans import entities
 
