@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CN_RANGE = r"(\d{4})年(\d{1,2})月(\d{1,2})日?(?:至|到|-|—|~)(?:(\d{4})年)?(\d{1,2})月(\d{1,2})日"
-SLASH_RANGE = r"(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})[^\d]{1,30}(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})"
-MONTH = r"(\d{4})年(\d{1,2})月"
-# Words that give a month its sense of a date.
-DATE_WORDS = ["日期", "政策", "活动", "有效期", "期间", "截止"]
+from factloom.functions.text import has_any
+
+# Spellings of ranges and months; words beside which a month is a date.
+CN_RANGE = r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日(?:至|到|-|—|~)(?:([0-9]{4})年)?([0-9]{1,2})月([0-9]{1,2})日"
+SLASH_RANGE = r"([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2}).{0,30}?([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})"
+MONTH = r"([0-9]{4})(?:年(?=[0-9]{1,2}月)|[/-](?=[0-9]{1,2}[/-][0-9]))([0-9]{1,2})"
+PERIOD = r"[0-9]{4}年[0-9]{1,2}月|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}"
+DATE_WORDS = ["有效期", "截止", "活动周期", "活动时间", "上线时间", "下线时间", "限时", "下定", "大定", "政策周期", "期间", "至"]
 
 
 def _date(*parts: Column) -> Column:
@@ -33,10 +36,7 @@ def policy_dates(text: Column) -> Column:
 
 
 def policy_periods(text: Column) -> Column:
-    """Distinct months (YYYY年M月) of a text that speaks of dates."""
-    whole = F.regexp_extract_all(text, F.lit(r"(\d{4}年\d{1,2}月)"), F.lit(1))
-    months = F.transform(whole, lambda m: F.concat(F.substring(m, 1, 5), F.regexp_extract(m, r"年(\d{1,2})月", 1).cast("int").cast("string"), F.lit("月")))
-    said = F.lit(False)
-    for w in DATE_WORDS:
-        said = said | text.contains(w)
-    return F.when(said, F.array_distinct(months)).otherwise(F.array().cast("array<string>"))
+    """Distinct months (YYYY年M月) of a text that speaks of dates, however they are written."""
+    found = F.regexp_extract_all(text, F.lit(f"({PERIOD})"), F.lit(1))
+    months = F.transform(found, lambda m: F.concat(F.substring(m, 1, 4), F.lit("年"), F.regexp_extract(m, "[0-9]{4}[年./-]([0-9]{1,2})", 1).cast("int").cast("string"), F.lit("月")))
+    return F.when(has_any(text, DATE_WORDS), F.array_distinct(months)).otherwise(F.array().cast("array<string>"))

@@ -21,8 +21,8 @@ def fact_key(c: Column) -> Column:
 
 def distinct_facts(facts: DataFrame, scope: list[Column] | None = None) -> DataFrame:
     """The first fact (by ord) of each normalised category and content, within a scope if one is given, with its number."""
-    key = F.xxhash64(*(scope or []), fact_key(F.col("category")), fact_key(F.col("content")))
-    first = facts.groupBy(key.alias("key"), *([F.concat_ws("|", *scope).alias("scope")] if scope else [])).agg(F.min(F.struct("ord", *(c for c in facts.columns if c != "ord"))).alias("f"))
+    key = F.unhex(F.md5(F.to_json(F.array(*(scope or []), fact_key(F.col("category")), fact_key(F.col("content")))).cast("binary")))
+    first = facts.groupBy(key.alias("key")).agg(F.min(F.struct("ord", *(c for c in facts.columns if c != "ord"))).alias("f"))
     return first.select("f.*")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.dates import DATE_WORDS, policy_periods
 from factloom.functions.prices import price_set
 from factloom.functions.text import has_any, text
 
@@ -69,8 +70,6 @@ STRONG_POLICY = ["限时", "活动期间", "截至", "截止", "有效期", "下
 POLICY_SOURCES = ["营销政策", "活动政策", "权益政策", "购车政策", "销售政策", "优惠政策", "金融政策", "促销", "限时权益"]
 STATIC_SERVICE = ["质保", "保修", "三电", "整车质保", "道路救援", "救援", "车联网", "基础流量", "娱乐流量", "流量", "ADS", "智驾", "辅助驾驶", "功能包", "车辆配置", "配置", "座舱", "续航", "补能", "空间", "尺寸", "动力", "安全", "舒适", "售后", "基础保障"]
 DATE = r"[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}"
-MONTH = r"[0-9]{4}年[0-9]{1,2}月|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}"
-DATE_WORDS = ["有效期", "截止", "活动周期", "活动时间", "上线时间", "下线时间", "限时", "下定", "大定", "政策周期", "期间", "至"]
 CONFIG_WORDS = ["屏", "芯片", "内存", "存储", "气囊", "座椅", "调节", "快充", "尺寸", "参数"]
 CORE_WORDS = ["空间", "动力", "续航", "补能", "智驾", "安全", "舒适", "车型"]
 PRICE_WORDS = ["价格", "售价", "指导价", "多少钱", "价位", "起售价"]
@@ -251,13 +250,6 @@ def misplaced(whole: Column) -> Column:
     return (c("knowledge_type") == "static") & (strong | (has_any(whole, POLICY_SOURCES) & ~has_any(whole, STATIC_SERVICE)))
 
 
-def periods(whole: Column) -> Column:
-    """Distinct months (YYYY年M月) of a text that speaks of dates, however they are written."""
-    found = F.regexp_extract_all(whole, F.lit(f"({MONTH})"), F.lit(1))
-    months = F.transform(found, lambda m: F.concat(F.substring(m, 1, 4), F.lit("年"), F.regexp_extract(m, "[0-9]{4}[年./-]([0-9]{1,2})", 1).cast("int").cast("string"), F.lit("月")))
-    return F.when(has_any(whole, DATE_WORDS), F.array_distinct(months)).otherwise(F.array().cast("array<string>"))
-
-
 def _live(items: DataFrame) -> DataFrame:
     rows = judged(items).where("exportable_now").drop("whole")
     return rows.withColumn("checked", _checked_text()).withColumn("asked", joined_questions())
@@ -291,7 +283,7 @@ def group_issues(items: DataFrame) -> DataFrame:
     keyed = rows.withColumn("kind", F.coalesce("category", "module", F.lit("")))
     same = keyed.groupBy(c("model").alias("model"), "kind", _squeezed(F.col("asked")).alias("q"), F.left(_squeezed(c("answer")), F.lit(80)).alias("a"))
     twice = same.agg(F.min_by("rag_id", "ord").alias("rag_id"), F.count_distinct(c("trim")).alias("trims")).where("trims > 1").select("rag_id", F.lit(DUPLICATE).alias("issue_type"), F.lit("").alias("detail"))
-    months = keyed.where("knowledge_type = 'dynamic'").select(c("model").alias("model"), "kind", F.explode(periods(F.col("checked"))).alias("month"))
+    months = keyed.where("knowledge_type = 'dynamic'").select(c("model").alias("model"), "kind", F.explode(policy_periods(F.col("checked"))).alias("month"))
     mixed = months.groupBy("model", "kind").agg(F.array_join(F.array_sort(F.collect_set("month")), "、").alias("months"), F.count_distinct("month").alias("n")).where("n > 1")
     mixed = mixed.select(F.lit("").alias("rag_id"), F.lit(MIXED_PERIODS).alias("issue_type"), F.concat(F.lit("发现"), "model", F.lit("存在多个"), "kind", F.lit("周期："), "months").alias("detail"))
     whole, trim = F.col("checked"), c("trim")

@@ -58,22 +58,19 @@ def duplicate_warnings(items: DataFrame) -> DataFrame:
     return first.where("n > 1").drop("n")
 
 
-def exact_duplicates(items: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
-    """The items with kept_id, the id of the first item of equal (squeezed) keys, and place among these.
-
-    Keys are hashed and the first is found by aggregation, so a key that many rows share is reduced before the shuffle.
-    """
-    digest = F.sha2(F.to_json(F.array(*(T.squeezed(F.col(k)) for k in keys))), 256)
-    keyed = items.withColumn("dup_key", digest)
-    first = keyed.groupBy("dup_key").agg(F.min_by(id_col, "ord").alias("kept_id"), F.count(F.lit(1)).alias("copies"))
-    return keyed.join(first, "dup_key")
+def duplicate_key(keys: list[str]) -> Column:
+    """A digest of the squeezed keys; null and empty are one."""
+    return F.sha2(F.to_json(F.array(*(T.squeezed(F.col(k)) for k in keys))), 256)
 
 
 def without_duplicates(items: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
-    found = exact_duplicates(items, id_col, keys)
-    return found.where(F.col(id_col) == F.col("kept_id")).select(*items.columns)
+    """The first item, by ord, of each group of equal keys. Only digests and orders are shuffled, reduced before; items are
+    then chosen by their order, so copies that share an id do not stay together."""
+    first = items.groupBy(duplicate_key(keys).alias("dup_key")).agg(F.min("ord").alias("ord")).select("ord")
+    return items.join(first, "ord", "left_semi").select(*items.columns)
 
 
 def duplicate_groups(items: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """Each group of equal items: kept_id and how many were removed."""
-    return exact_duplicates(items, id_col, keys).where("copies > 1").groupBy("kept_id").agg((F.count(F.lit(1)) - 1).alias("removed"))
+    groups = items.groupBy(duplicate_key(keys).alias("dup_key")).agg(F.min_by(id_col, "ord").alias("kept_id"), (F.count(F.lit(1)) - 1).alias("removed"))
+    return groups.where("removed > 0").select("kept_id", "removed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import labels, speech
+from factloom.functions import dates, labels, speech
 from factloom.functions import text as T
 from factloom.operators import export, gate, review
 from factloom.plans import entities as E
@@ -94,7 +94,7 @@ def risk_route(spark, sf_dir):
     return gate.routes(items, gate.rule_issues(items))
 
 
-DATED = f"(regexp_matches(checked, '{gate.DATE}') AND {any_sql('checked', gate.DATE_WORDS)})"
+DATED = f"(regexp_matches(checked, '{gate.DATE}') AND {any_sql('checked', dates.DATE_WORDS)})"
 NAMED = "list_filter([" + ", ".join(f"CASE WHEN contains(answer, '{w}') THEN '{w}' END" for w in gate.VERSION_WORDS) + "], lambda w: w IS NOT NULL)"
 ROW_RULES = {
     gate.VERSION_MISMATCH: f"\"trim\" <> '' AND \"trim\" NOT IN ('全系', '不同版本') AND len({NAMED}) >= 2 AND len(list_filter({NAMED}, lambda w: NOT contains(\"trim\", w))) > 0",
@@ -120,7 +120,7 @@ CORE = "\"trim\" IN ('全系', '不同版本')"
 
 @query(
     f"""WITH v AS (SELECT * FROM ({JUDGED}) WHERE live), d AS (SELECT arg_min(rag_id, ord) AS rag_id FROM v GROUP BY model, category, {_squeezed_sql('asked')}, left({_squeezed_sql('answer')}, 80) HAVING count(DISTINCT "trim") > 1),
-m AS (SELECT DISTINCT model, category, regexp_extract(x, '^[0-9]+') || '年' || regexp_extract(x, '^[0-9]+[年./-]([0-9]+)', 1)::INT || '月' AS month FROM (SELECT model, category, unnest(regexp_extract_all(checked, '{gate.MONTH}')) AS x FROM v WHERE knowledge_type = 'dynamic' AND {any_sql('checked', gate.DATE_WORDS)})),
+m AS (SELECT DISTINCT model, category, regexp_extract(x, '^[0-9]+') || '年' || regexp_extract(x, '^[0-9]+[年./-]([0-9]+)', 1)::INT || '月' AS month FROM (SELECT model, category, unnest(regexp_extract_all(checked, '{dates.PERIOD}')) AS x FROM v WHERE knowledge_type = 'dynamic' AND {any_sql('checked', dates.DATE_WORDS)})),
 p AS (SELECT model, category, array_to_string(list_sort(list(month)), '、') AS months FROM m GROUP BY 1, 2 HAVING count(*) > 1),
 b AS (SELECT model, count(*) AS n, count(*) FILTER ({any_sql('checked', gate.CONFIG_WORDS)}) AS config, count(*) FILTER ({CORE} AND {any_sql('checked', gate.CORE_WORDS)}) AS core, count(*) FILTER ({any_sql('checked', gate.PRICE_WORDS)} AND NOT ({CORE} OR "trim" = '')) AS vp, count(*) FILTER ({any_sql('checked', gate.PRICE_WORDS)} AND ({CORE} OR "trim" = '')) AS mp FROM v WHERE model <> '' GROUP BY 1)
 SELECT rag_id, '{gate.DUPLICATE}' AS issue_type, '' AS detail, 'warning' AS risk_level FROM d UNION ALL SELECT '', '{gate.MIXED_PERIODS}', '发现' || model || '存在多个' || category || '周期：' || months, 'warning' FROM p
