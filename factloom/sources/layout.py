@@ -38,7 +38,7 @@ def cell_text(value: Column, kind: Column) -> Column:
         F.when((kind == "b") & value.isNotNull(), F.when(F.lower(value).isin("true", "1"), "是").otherwise("否"))
         .when((kind == "n") & number.isNotNull(), F.when(number == F.floor(number), whole).otherwise(rounded))
         .when((kind == "d") & when.isNotNull(), F.when(day, F.date_format(when, "yyyy-MM-dd")).otherwise(F.date_format(when, "yyyy-MM-dd HH:mm:ss")))
-        .otherwise(clean_cell(F.regexp_replace(value, "\r\n?", "\n")))
+        .otherwise(F.regexp_replace(clean_cell(F.regexp_replace(value, "\r\n?", "\n")), r"(?U)^\s+|\s+$", ""))
     )
 
 
