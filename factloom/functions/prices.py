@@ -27,6 +27,37 @@ def yuan_list(c: Column) -> Column:
     return F.array_distinct(F.concat(big, bare))
 
 
+def price_list(c: Column) -> Column:
+    """Distinct prices in ten thousands as they come: X万, then amounts of five or six digits before 元."""
+    big = F.transform(F.regexp_extract_all(c, F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*万"), F.lit(1)), lambda v: v.cast("double"))
+    yuan = F.transform(F.regexp_extract_all(c, F.lit(r"([0-9]{5,6})\s*元"), F.lit(1)), lambda v: v.cast("double") / 10000)
+    return F.array_distinct(F.concat(big, yuan))
+
+
+def written_price(value: Column) -> Column:
+    """A price in ten thousands with two decimals at most."""
+    return F.concat(F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", ""), F.lit("万元"))
+
+
+def price_spellings(price: Column) -> Column:
+    """The ways in which a text may spell the numbers of a price: plain, and from ten thousand on in ten thousands."""
+
+    def spelt(number: Column) -> Column:
+        v = number.cast("double")
+        plain = F.when(v == F.floor(v), F.format_string("%d", v.cast("long"))).otherwise(v.cast("string"))
+        fixed = F.format_string("%.2f", v / 10000)
+        short = F.regexp_replace(F.format_string("%.10f", v / 10000), r"\.?0+$", "")
+        more = F.array(fixed, F.regexp_replace(fixed, r"\.?0+$", ""), *(F.concat(x, F.lit(unit)) for unit in ("万", "万元") for x in (short, fixed)))
+        return F.concat(F.array(plain), F.when(v >= 10000, more).otherwise(F.array().cast("array<string>")))
+
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(price, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), spelt)))
+
+
+def names_price(text: Column, price: Column) -> Column:
+    """Whether a text spells a price in any of these ways."""
+    return F.exists(price_spellings(price), lambda s: F.contains(text, s))
+
+
 def spoken(number: Column) -> Column:
     """A number as spoken: 0 to 99 in tens, longer ones digit by digit, decimals after 点."""
     whole, decimals = F.split_part(number, F.lit("."), F.lit(1)), F.split_part(number, F.lit("."), F.lit(2))

@@ -76,3 +76,17 @@ def version_alias(a: Column, b: Column) -> Column:
     x, y = bare(left), bare(right)
     inside = (F.length(x) >= 2) & (F.length(y) >= 2) & ~x.rlike("^[a-z0-9]+$") & ~y.rlike("^[a-z0-9]+$") & (F.contains(x, y) | F.contains(y, x))
     return (left != "") & (right != "") & ((left == right) | inside)
+
+
+# Coverage that a release needs.
+PRICE_GATE, DYNAMIC_GATE = 0.95, 0.9
+
+
+def coverage_report(rows: DataFrame, legacy: DataFrame) -> DataFrame:
+    """By measure (price or an intent): covered, total, coverage, missing, how many the earlier report lacked, and whether a
+    release may go ahead. rows: measure, covered, total; legacy: measure, covered."""
+    before = legacy.select("measure", F.col("covered").alias("earlier"))
+    joined = rows.join(before, "measure", "left").withColumn("coverage", ratio(F.col("covered"), F.col("total")))
+    needed = F.when(F.col("measure") == "price", PRICE_GATE).otherwise(DYNAMIC_GATE)
+    fixed = F.greatest(F.lit(0).cast("long"), F.col("covered") - F.coalesce("earlier", F.lit(0).cast("long")))
+    return joined.select("measure", "covered", "total", "coverage", (F.col("total") - F.col("covered")).alias("missing"), fixed.alias("fixed"), (F.col("coverage") >= needed).alias("passes"))

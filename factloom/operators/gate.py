@@ -273,6 +273,14 @@ def row_issues(items: DataFrame) -> DataFrame:
     )
 
 
+def scoped_trim() -> Column:
+    """The trim of an item whose answer names several versions that the trim does not: it becomes 不同版本."""
+    trim, whole = c("trim"), c("answer")
+    named = F.filter(F.array(*(F.when(whole.contains(w), F.lit(w)) for w in VERSION_WORDS)), lambda x: x.isNotNull())
+    wider = (F.size(named) >= 2) & F.exists(named, lambda w: ~F.contains(trim, w))
+    return F.when(~trim.isin("", UNCONFIRMED_TRIM, WHOLE_RANGE) & wider, "不同版本").otherwise(trim)
+
+
 def _squeezed(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), r"(?U)\s+", ""), MARKS, "")
 

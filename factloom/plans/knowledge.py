@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import dates, labels, speech
+from factloom.functions import dates, labels, prices, speech
 from factloom.functions import text as T
-from factloom.operators import export, gate, review
+from factloom.operators import audit, center, coverage, export, gate, review
 from factloom.plans import entities as E
 from factloom.plans.registry import any_sql, case_sql, in_sql, query, read
 from factloom.shipping import ship
@@ -407,3 +407,95 @@ def restore_counters(spark, sf_dir):
 @query("SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) = '' AS blank FROM documents")
 def blank_texts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", (T.question_key(F.col("text")) == "").alias("blank"))
+
+
+# ---- prices, scopes, reports, the review centre, audits ----
+
+SAID = "SELECT p_partkey, CAST(round(p_retailprice) AS BIGINT) * 100 AS yuan, CASE p_partkey % 3 WHEN 0 THEN '售价' || CAST(p_size AS STRING) || '.5 万，顶配' || CAST(CAST(round(p_retailprice) AS BIGINT) * 100 AS STRING) || '元' WHEN 1 THEN '优惠' || CAST(CAST(round(p_retailprice) AS BIGINT) * 100 AS STRING) || ' 元，原价' || CAST(CAST(round(p_retailprice) AS BIGINT) * 100 AS STRING) || '元' ELSE '约' || CAST(p_size AS STRING) || '万' END AS t FROM part"
+
+
+@query(
+    f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN printf('%.2f,%.2f', p_size + 0.5, yuan / 10000.0) WHEN 1 THEN printf('%.2f', yuan / 10000.0) ELSE printf('%.2f', p_size::DOUBLE) END AS prices, p_partkey % 3 < 2 OR contains(t, regexp_replace(printf('%.2f', yuan / 10000.0), '\\.?0+$', '')) AS named FROM ({E.duck(SAID)}) JOIN (SELECT p_partkey, p_size FROM part) USING (p_partkey)"""
+)
+def price_lists(spark, sf_dir):
+    E.load(spark, sf_dir, "part")
+    return spark.sql(SAID).select("p_partkey", F.array_join(F.transform(prices.price_list(F.col("t")), lambda v: F.format_string("%.2f", v)), ",").alias("prices"), prices.names_price(F.col("t"), F.col("yuan").cast("string")).alias("named"))
+
+
+@query(f"SELECT ord, CASE WHEN \"trim\" NOT IN ('', '需确认', '全系') AND len({NAMED}) >= 2 AND len(list_filter({NAMED}, lambda w: NOT contains(\"trim\", w))) > 0 THEN '不同版本' ELSE \"trim\" END AS scope FROM ({E.duck(E.ITEMS)})")
+def trim_scopes(spark, sf_dir):
+    return E.items(spark, sf_dir).select("ord", gate.scoped_trim().alias("scope"))
+
+
+COVERED = "SELECT event_type AS measure, count(*) AS total, count(CASE WHEN value > 10 THEN 1 END) AS covered FROM events GROUP BY event_type UNION ALL SELECT 'price', count(*), count(CASE WHEN p_size > 2 THEN 1 END) FROM part"
+
+
+@query(f"SELECT measure, covered, total, round(covered / total::DOUBLE, 4) AS coverage, total - covered AS missing, greatest(0, covered - CASE WHEN measure = 'price' THEN 5 ELSE 0 END) AS fixed, round(covered / total::DOUBLE, 4) >= CASE WHEN measure = 'price' THEN 0.95 ELSE 0.9 END AS passes FROM ({COVERED})")
+def coverage_report(spark, sf_dir):
+    E.load(spark, sf_dir, "events", "part")
+    legacy = spark.createDataFrame([("price", 5)], "measure string, covered long")
+    return coverage.coverage_report(spark.sql(COVERED), legacy)
+
+
+GAPS = "SELECT 'm' || CAST(c_custkey % 5 AS STRING) AS vehicle, CASE c_custkey % 4 WHEN 0 THEN 'conflict' WHEN 1 THEN 'dynamic' ELSE '' END AS review_type, c_name AS question, CASE c_custkey % 3 WHEN 0 THEN '前后矛盾' WHEN 1 THEN '无法判断' ELSE '' END AS reason, CASE WHEN c_custkey % 2 = 0 THEN '补' ELSE '' END AS confirm_content FROM customer"
+CONFIRMS = "SELECT s_name AS item, 'inference' AS review_type, 'M' AS model FROM supplier"
+CENTER = f"""SELECT CASE WHEN review_type = 'conflict' THEN 'conflict' WHEN review_type = '' THEN 'missing' WHEN contains(reason, '矛盾') THEN 'conflict' WHEN contains(reason, '无法判断') THEN 'inference' ELSE 'missing' END AS kind, vehicle AS model, question AS item, CASE WHEN reason = '' THEN '{center.NOT_FOUND}' ELSE reason END AS reason, CASE WHEN confirm_content = '' THEN '{center.CHECK}' ELSE confirm_content END AS action FROM ({E.duck(GAPS)})
+UNION ALL SELECT 'inference', model, item, '{center.NOT_FOUND}', '{center.CHECK}' FROM ({CONFIRMS})
+UNION ALL SELECT CASE WHEN review_type IN {in_sql(gate.BLOCKING_REVIEW)} THEN review_type ELSE 'missing' END, CASE WHEN model = '' THEN '{center.ALL_MODELS}' ELSE model END, CASE WHEN asked <> '' THEN asked WHEN category <> '' THEN category ELSE '{center.PENDING}' END, CASE WHEN (brand, model_key, topic) IN (SELECT (brand, model_key, topic) FROM ({JUDGED}) WHERE effective) THEN '{gate.COVERED_REASON}' ELSE '{gate.DEFAULT_REASON}' END, '{center.CHECK}' FROM ({JUDGED}) WHERE NOT live
+UNION ALL SELECT 'dynamic_notice', model, asked, '{center.NOTICE}', '{center.NOTICE_ACTION}' FROM ({JUDGED}) WHERE live AND knowledge_type = 'dynamic'"""
+
+
+def _center(spark, sf_dir):
+    E.load(spark, sf_dir, "customer", "supplier")
+    return center.review_rows(spark.sql(GAPS), spark.sql(CONFIRMS), E.items(spark, sf_dir))
+
+
+@query(CENTER)
+def review_center(spark, sf_dir):
+    return _center(spark, sf_dir)
+
+
+@query(
+    f"""SELECT CASE kind WHEN 'dynamic_notice' THEN {case_sql("(item || ' ' || reason)", center.NOTICE_WORDS, "'购车权益'")} WHEN 'conflict' THEN '信息冲突' WHEN 'inference' THEN 'AI推断' WHEN 'range_issue' THEN '范围异常' ELSE '信息缺失' END AS measure, count(*) AS n FROM ({CENTER}) GROUP BY 1"""
+)
+def review_counts(spark, sf_dir):
+    return center.review_counts(_center(spark, sf_dir))
+
+
+@query("SELECT coalesce(nullif(arg_min(s_name, s_suppkey), ''), '未识别') AS brand, '未识别' AS model FROM supplier")
+def project_info(spark, sf_dir):
+    return center.project_info(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("brand"), F.lit("").alias("model")))
+
+
+OLD, NEW = E.duck(E.knowledge_sql("old")), E.duck(E.knowledge_sql("new"))
+SHOWN = "CASE p_partkey % 4 WHEN 0 THEN 'ADDED' WHEN 1 THEN 'UPDATED' WHEN 2 THEN 'UNCHANGED' ELSE 'REVIEW_REQUIRED' END"
+
+
+@query(
+    f"""SELECT ord AS diff_id, kind AS change_type, model, question, CASE kind WHEN 'ADDED' THEN '' ELSE before END AS before, CASE kind WHEN 'UNCHANGED' THEN '' ELSE after END AS after, category FROM (SELECT coalesce(n.ord, o.ord) AS ord, {SHOWN.replace('p_partkey', 'coalesce(n.ord, o.ord)')} AS kind, CASE WHEN n.ord IS NULL THEN o.model ELSE n.model END AS model, CASE WHEN n.ord IS NULL THEN o.question ELSE n.question END AS question, CASE WHEN n.ord IS NULL THEN o.category ELSE n.category END AS category,
+CASE WHEN o.ord IS NULL AND {SHOWN.replace('p_partkey', 'n.ord')} = 'UNCHANGED' THEN n.answer ELSE coalesce(o.answer, '') END AS before, coalesce(n.answer, '') AS after FROM ({OLD}) o FULL JOIN ({NEW}) n ON o.ord = n.ord)"""
+)
+def change_rows(spark, sf_dir):
+    old, new = E.knowledge(spark, sf_dir)
+    joined = old.select(F.col("ord"), F.struct("*").alias("o")).join(new.select("ord", F.struct("*").alias("n")), "ord", "full")
+    kind = F.expr(SHOWN.replace("p_partkey", "ord"))
+    return center.change_rows(joined.withColumn("change_type", kind).withColumnRenamed("ord", "diff_id"))
+
+
+TAGGED = "list_filter([" + ", ".join(f"CASE WHEN {any_sql('@', w)} THEN '{name}' END" for name, w in audit.TAG_WORDS.items()) + "], lambda x: x IS NOT NULL)"
+NAMES = "list_filter(list_distinct([replace(@, ' ', ''), regexp_replace(replace(@, ' ', ''), '^哈弗', '')]), lambda m: m <> '')"
+
+
+@query(
+    f"""SELECT new_id, old_id, mm AS model_match, cm AS category_match, nc AS number_change, round(least(CASE WHEN mm THEN 0.45 ELSE 0 END + CASE WHEN nt = ot THEN 0.10 ELSE 0 END + CASE WHEN ncat = ocat THEN 0.20 ELSE 0 END + CASE WHEN nk = ok THEN 0.10 ELSE 0 END + CASE WHEN len(list_intersect(ni, oi)) > 0 THEN 0.15 ELSE 0 END, 1.0), 6) AS entity_score,
+CASE WHEN len(ni) = 0 OR len(oi) = 0 THEN 0.0 ELSE round(len(list_intersect(ni, oi)) / (len(ni) + len(oi) - len(list_intersect(ni, oi)))::DOUBLE, 6) END AS intent_overlap
+FROM (SELECT *, nm <> '' AND len(list_intersect({NAMES.replace('@', 'nm')}, {NAMES.replace('@', 'om')})) > 0 AS mm, ncat = ocat OR len(list_filter(list_intersect({TAGGED.replace('@', '(nq || ncat)')}, {TAGGED.replace('@', '(oq || ocat)')}), lambda t: t <> '权益')) > 0 AS cm, len(na) > 0 AND len(oa) > 0 AND list_sort(list_distinct(na)) <> list_sort(list_distinct(oa)) AS nc,
+ {TAGGED.replace('@', '(nq || ncat || nans)')} AS ni, {TAGGED.replace('@', '(oq || ocat || oans)')} AS oi FROM (SELECT n.knowledge_id AS new_id, o.knowledge_id AS old_id, n.model AS nm, o.model AS om, n.trim AS nt, o.trim AS ot, n.category AS ncat, o.category AS ocat, n.knowledge_type AS nk, o.knowledge_type AS ok, n.question AS nq, o.question AS oq, n.answer AS nans, o.answer AS oans,
+ regexp_extract_all(n.answer, '[0-9]+(\\.[0-9]+)?') AS na, regexp_extract_all(o.answer, '[0-9]+(\\.[0-9]+)?') AS oa FROM ({OLD}) o JOIN ({NEW}) n ON n.ord = o.ord + 1))"""
+)
+def audit_scores(spark, sf_dir):
+    """Each new item against the old one before it in order: everything but the score that needs the texts' ratio."""
+    old, new = E.knowledge(spark, sf_dir)
+    pairs = old.select((F.col("ord") + 1).alias("k"), F.struct("*").alias("o")).join(new.select(F.col("ord").alias("k"), F.struct("*").alias("n")), "k")
+    found = audit.scored(pairs, F.lit(0.0))
+    return found.select(F.col("n.knowledge_id").alias("new_id"), F.col("o.knowledge_id").alias("old_id"), "model_match", "category_match", "number_change", F.round("entity_score", 6).alias("entity_score"), F.round("intent_overlap", 6).alias("intent_overlap"))
