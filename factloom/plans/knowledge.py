@@ -8,6 +8,7 @@ from factloom.functions import dates, labels, prices, speech
 from factloom.functions import text as T
 from factloom.operators import audit, center, coverage, export, gate, review
 from factloom.plans import entities as E
+from factloom.plans import modes
 from factloom.plans.registry import any_sql, case_sql, in_sql, query, read
 from factloom.shipping import ship
 from factloom.sources import batches, layout, restore, sheets
@@ -499,3 +500,26 @@ def audit_scores(spark, sf_dir):
     pairs = old.select((F.col("ord") + 1).alias("k"), F.struct("*").alias("o")).join(new.select(F.col("ord").alias("k"), F.struct("*").alias("n")), "k")
     found = audit.scored(pairs, F.lit(0.0))
     return found.select(F.col("n.knowledge_id").alias("new_id"), F.col("o.knowledge_id").alias("old_id"), "model_match", "category_match", "number_change", F.round("entity_score", 6).alias("entity_score"), F.round("intent_overlap", 6).alias("intent_overlap"))
+
+
+# ---- modes and extraction ----
+
+TEXTS = "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN '总则' || chr(10) || '【车型记录1】' || s_name ELSE s_name END AS text FROM supplier"
+
+
+@query("SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 'record_aware' ELSE 'single' END AS route FROM supplier")
+def fact_routes(spark, sf_dir):
+    E.load(spark, sf_dir, "supplier")
+    return spark.sql(TEXTS).select("doc_id", modes.fact_route(F.col("text")).alias("route"))
+
+
+@query(f"""SELECT rag_id FROM (SELECT *, {SIGNALS} AS signals FROM (SELECT *, concat_ws(' ', brand, model, "trim", category, knowledge_type, module, intent, answer, asked) AS said FROM ({JUDGED}))) WHERE live AND signals <> '' AND rag_id NOT IN (SELECT rag_id FROM ({ISSUES}))""")
+def model_checks(spark, sf_dir):
+    return modes.for_model(E.items(spark, sf_dir)).select("rag_id")
+
+
+@query("SELECT doc_id, count(*) AS facts, max(place) AS last FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS place FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。.!?！？\\n]'), lambda x: trim(x, ' \t')), lambda x: x <> '') AS parts FROM documents)) GROUP BY 1")
+def extracted_facts(spark, sf_dir):
+    ship(spark)
+    chunks = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk"), "text")
+    return modes.all_or_nothing(modes.extracted(chunks)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("facts"), F.max("place").cast("long").alias("last"))
