@@ -40,10 +40,10 @@ from factloom.llm.suffixes import Scratch
 
 LENGTH = 200
 GRAM = 24
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Different segments of one minimizer that a shard takes, and their bytes.
 HOT = 1 << 16
-HOT_BYTES = 2 * SHARD_BYTES
+HOT_BYTES = 4 * SHARD_BYTES
 #: Windows of a segment that are hashed, and gathered again, at a time.
 SLICE = 1 << 18
 MAX_HOT = 10_000

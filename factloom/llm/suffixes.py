@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-HELD = 4 << 20
+HELD = 2 << 20
 #: Names that are sorted in memory.
 BASE = 1 << 21
 CHUNK = 1 << 17
@@ -121,6 +121,12 @@ class Queue:
         self.file.seek(at + size * kind.itemsize + a * np.dtype(PREFIX).itemsize)
         return position, np.fromfile(self.file, PREFIX, b - a)
 
+    def drop(self) -> None:
+        """Give the file's space back; nothing is left to be taken."""
+        if self.file:
+            self.file.close()
+            os.unlink(self.file.name)
+
     def _close(self) -> None:
         """Put what is parted by key back into its bucket; rows of one key stay in order."""
         for row in self.inner.values():
@@ -316,6 +322,8 @@ def _induced(text: np.ndarray, kinds: np.ndarray, seeds: Iterator[Rows], top: in
                 x[0], first = seam(last, int(p[0])), False
             hand_on(falling, up, since, p, x, False)
         c += 1
+    falling.drop()
+    starts.drop()
     since, c = Since(top if carry else 0, depth, scratch), 0
     while (c := min((k for k in (rising.least(c), done.least(c)) if k is not None), default=None)) is not None:
         last = None
@@ -332,6 +340,8 @@ def _induced(text: np.ndarray, kinds: np.ndarray, seeds: Iterator[Rows], top: in
             yield p, x
             hand_on(rising, down, since, p, x, True)
         c += 1
+    done.drop()
+    rising.drop()
 
 
 def _named(text: np.ndarray, kinds: np.ndarray, samples: np.ndarray, top: int, depth: int, scratch: Scratch, held: int) -> tuple[np.ndarray, int]:
