@@ -416,7 +416,7 @@ SAID = "SELECT p_partkey, CAST(round(p_retailprice) AS BIGINT) * 100 AS yuan, CA
 
 
 @query(
-    f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN printf('%.2f,%.2f', p_size + 0.5, yuan / 10000.0) WHEN 1 THEN printf('%.2f', yuan / 10000.0) ELSE printf('%.2f', p_size::DOUBLE) END AS prices, p_partkey % 3 < 2 OR contains(t, regexp_replace(printf('%.2f', yuan / 10000.0), '\\.?0+$', '')) AS named FROM ({E.duck(SAID)}) JOIN (SELECT p_partkey, p_size FROM part) USING (p_partkey)"""
+    f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_size + 0.5 = yuan / 10000.0 THEN printf('%.2f', p_size + 0.5) ELSE printf('%.2f,%.2f', p_size + 0.5, yuan / 10000.0) END WHEN 1 THEN printf('%.2f', yuan / 10000.0) ELSE printf('%.2f', p_size::DOUBLE) END AS prices, p_partkey % 3 < 2 OR contains(t, regexp_replace(printf('%.2f', yuan / 10000.0), '\\.?0+$', '')) AS named FROM ({E.duck(SAID)}) JOIN (SELECT p_partkey, p_size FROM part) USING (p_partkey)"""
 )
 def price_lists(spark, sf_dir):
     E.load(spark, sf_dir, "part")
