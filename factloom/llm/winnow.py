@@ -7,8 +7,8 @@ share a chosen hash, and a shared hash comes from texts that share GRAM.
 
 SQL carries no state from one place to the next, so a gram's hash is taken from
 its bytes, not updated from the one before. A polynomial hash of grams, built by
-doubling (h2 = h1 * b + h1', ...), rolls without cutting grams and gives the same
-choice, but took 1.5 to 1.9 times as long as this on the same texts.
+doubling (h2 = h1 * b + h1', ...), rolls without cutting grams, but took 1.5 to
+1.9 times as long as this on the same texts.
 
 The text becomes four bytes a code point, so that each gram is a slice at a
 known place. A hash h at place i travels as the number h * 2**31 - i: the least
