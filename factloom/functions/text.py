@@ -88,20 +88,25 @@ def _amounts(c: Column, pattern: str, suffix: str) -> Column:
     return F.when(F.size(values) == 0, c).otherwise(F.array_join(F.zip_with(between, spelt, lambda b, v: F.concat(b, F.coalesce(v, F.lit("")))), ""))
 
 
-def answer_text(c: Column) -> Column:
-    """An answer with its amounts in one spelling and without punctuation (decimal points go too). Amounts of a million
-    and more stay plain numbers."""
+def _spelt_alike(c: Column) -> Column:
+    """An answer with its amounts in one spelling, its punctuation kept."""
     found = F.regexp_replace(plain(c), r"(\d+),(\d{3})(?=元)", "$1$2")
     found = F.replace(found, F.lit("人民币"), F.lit(""))
     found = _amounts(found, r"(\d+(?:\.\d+)?)万元", "元")
     found = _amounts(found, r"(\d+(?:\.\d+)?)万(?!(?:公里|千米))", "")
-    found = F.replace(F.replace(found, F.lit("百分之十"), F.lit("10%")), F.lit("百分之三点八"), F.lit("3.8%"))
-    return F.regexp_replace(found, "[，。,.!！;；]", "")
+    return F.replace(F.replace(found, F.lit("百分之十"), F.lit("10%")), F.lit("百分之三点八"), F.lit("3.8%"))
+
+
+def answer_text(c: Column) -> Column:
+    """An answer with its amounts in one spelling and without punctuation (decimal points go too). Amounts of a million
+    and more stay plain numbers."""
+    return F.regexp_replace(_spelt_alike(c), "[，。,.!！;；]", "")
 
 
-def numbers(answer: Column) -> Column:
-    """Numbers of an answer in order, from its normalised text."""
-    return F.regexp_extract_all(answer_text(answer), F.lit(r"(\d+(?:\.\d+)?%?)"), F.lit(1))
+def numbers(answer: Column, marks: bool = False) -> Column:
+    """Numbers of an answer in order, from its normalised text. With marks its punctuation is kept and parts numbers:
+    1,000公里 holds 1 and 000 instead of 1000."""
+    return F.regexp_extract_all(_spelt_alike(answer) if marks else answer_text(answer), F.lit(r"(\d+(?:\.\d+)?%?)"), F.lit(1))
 
 
 def has_any(c: Column, words: list[str]) -> Column:
